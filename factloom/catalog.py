@@ -1,11 +1,279 @@
-"""All queries of the code-facts engine and the SQL that says the same."""
+"""All queries of the code-facts engine over the fact views, and the SQL that says the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import predicates as P
+from .operators import edges, graph, hierarchy, lookup, resolve
+from .plans.facts import Facts
+from .sources import fixtures
 
 FLAGSHIP = "functions_regex"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+NAME_PATTERN, FUNCTION, CLASS = "^small_.*(ring|bolt)$", "blue_rod", "Brand_2"
+
+_WORK: dict[str, Callable[[Facts], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Callable[[Facts], DataFrame]], Callable[[Facts], DataFrame]]:
+    def add(f: Callable[[Facts], DataFrame]) -> Callable[[Facts], DataFrame]:
+        _WORK[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _strings(column: str) -> F.Column:
+    return F.array_join(column, ",")
+
+
+_LOCATED = "FROM cf_functions x JOIN cf_files f ON f.id = x.file_id"
+_LISTED = "coalesce(string_agg({0}, ',' ORDER BY {1}), '')"
+
+
+@_query("SELECT count(*) AS n FROM cf_files")
+def file_count(f: Facts) -> DataFrame:
+    return lookup.file_count(f)
+
+
+@_query("SELECT language, count(*) AS n FROM cf_files GROUP BY language")
+def file_count_by_lang(f: Facts) -> DataFrame:
+    return lookup.file_count_by_language(f)
+
+
+@_query("SELECT string_agg(language, ',' ORDER BY language) AS languages FROM (SELECT DISTINCT language FROM cf_files)")
+def language_set(f: Facts) -> DataFrame:
+    return lookup.language_set(f)
+
+
+@_query(f"SELECT x.name, x.class_name, f.path, x.start_line, x.end_line {_LOCATED}")
+def functions_all(f: Facts) -> DataFrame:
+    return lookup.functions(f, with_params=False).drop("id", "file_id")
+
+
+@_query(f"SELECT x.name, x.class_name, f.path, x.start_line, x.end_line {_LOCATED} WHERE regexp_matches(x.name, '{NAME_PATTERN}')")
+def functions_regex(f: Facts) -> DataFrame:
+    return lookup.functions(f, NAME_PATTERN, with_params=False).drop("id", "file_id")
+
+
+@_query(f"SELECT x.name, x.class_name, f.path, x.start_line, x.end_line {_LOCATED} WHERE regexp_matches(x.name, '(metallic|metal).*bolt') AND f.language = 'en'")
+def functions_prefiltered(f: Facts) -> DataFrame:
+    return lookup.functions(f.of_language("en"), "(metallic|metal).*bolt", with_params=False).drop("id", "file_id")
+
+
+@_query(f"SELECT x.name, x.class_name, f.path, x.start_line, x.end_line {_LOCATED} WHERE x.name = '{FUNCTION}' AND x.class_name = '{CLASS}'")
+def definition(f: Facts) -> DataFrame:
+    return lookup.definition(f, FUNCTION, CLASS).drop("id", "file_id")
+
+
+@_query(f"SELECT x.id, f.path, f.language {_LOCATED}")
+def functions_with_path(f: Facts) -> DataFrame:
+    return f.located(f.functions).select("id", "path", "language")
+
+
+@_query("SELECT function_id, string_agg(concat(name, ':', coalesce(param_type, '')), ',' ORDER BY position, name) AS params FROM cf_function_params GROUP BY function_id")
+def function_params_list(f: Facts) -> DataFrame:
+    told = F.transform("params", lambda p: F.concat(p["name"], F.lit(":"), F.coalesce(p["type"], F.lit(""))))
+    return lookup.params_of(f).select("function_id", F.array_join(told, ",").alias("params"))
+
+
+@_query(f"SELECT class_id, {_LISTED.format('method_name', 'method_name')} AS methods FROM cf_class_methods GROUP BY class_id")
+def class_methods_list(f: Facts) -> DataFrame:
+    return lookup.methods_of(f).select("class_id", _strings("methods").alias("methods"))
+
+
+@_query(f"SELECT class_id, {_LISTED.format('super_class_name', 'super_class_name')} AS super_classes FROM cf_class_super_classes GROUP BY class_id")
+def class_supers_list(f: Facts) -> DataFrame:
+    return lookup.supers_of(f).select("class_id", _strings("super_classes").alias("super_classes"))
+
+
+@_query(f"SELECT file_id, class_name, {_LISTED.format('name', 'start_line, name')} AS fields FROM cf_fields GROUP BY file_id, class_name")
+def class_fields_rollup(f: Facts) -> DataFrame:
+    return lookup.fields_by_class(f).select("file_id", "class_name", _strings("fields").alias("fields"))
+
+
+@_query("""
+SELECT c.name, c.kind, f.path, c.start_line, c.end_line, coalesce(m.l, '') AS methods, coalesce(s.l, '') AS super_classes
+FROM cf_classes c JOIN cf_files f ON f.id = c.file_id
+LEFT JOIN (SELECT class_id, string_agg(method_name, ',' ORDER BY method_name) AS l FROM cf_class_methods GROUP BY class_id) m ON m.class_id = c.id
+LEFT JOIN (SELECT class_id, string_agg(super_class_name, ',' ORDER BY super_class_name) AS l FROM cf_class_super_classes GROUP BY class_id) s ON s.class_id = c.id
+WHERE regexp_matches(c.name, 'r#0+[0-9]*7$')""")
+def classes_regex(f: Facts) -> DataFrame:
+    return lookup.classes(f, "r#0+[0-9]*7$").select("name", "kind", "path", "start_line", "end_line", _strings("methods").alias("methods"), _strings("super_classes").alias("super_classes"))
+
+
+@_query(f"SELECT x.name, x.class_name, x.field_type, f.path, x.start_line, x.end_line FROM cf_fields x JOIN cf_files f ON f.id = x.file_id WHERE x.class_name = '{CLASS}'")
+def fields_of_class(f: Facts) -> DataFrame:
+    return lookup.fields(f, CLASS)
+
+
+@_query("SELECT x.module, f.path, x.start_line, x.end_line FROM cf_imports x JOIN cf_files f ON f.id = x.file_id WHERE regexp_matches(x.module, '^/[A-Z]')")
+def imports_regex(f: Facts) -> DataFrame:
+    return lookup.imports(f, "^/[A-Z]")
+
+
+@_query("SELECT x.name, x.signature, x.target_name, x.target_type, f.path, x.start_line, x.end_line FROM cf_annotations x JOIN cf_files f ON f.id = x.file_id WHERE regexp_matches(x.name, 'click|view') AND f.language = 'en'")
+def annotations_regex(f: Facts) -> DataFrame:
+    return lookup.annotations(f.of_language("en"), "click|view")
+
+
+@_query("SELECT x.name, f.path FROM cf_refs x JOIN cf_files f ON f.id = x.file_id WHERE x.name = 'the'")
+def refs_by_name(f: Facts) -> DataFrame:
+    return lookup.refs(f, "the")
+
+
+@_query("SELECT id, path, language, size_bytes FROM cf_files WHERE language IN ('en', 'de') AND id % 3 <> 0")
+def stale_files(f: Facts) -> DataFrame:
+    return lookup.stale_files(f, f.files.filter("id % 3 = 0"), ["en", "de"]).select("id", "path", "language", "size_bytes")
+
+
+_DISTINCT_CALLS = "dc AS MATERIALIZED (SELECT DISTINCT file_id, callee, caller, caller_class_name, object_name, object_kind, start_line, end_line FROM cf_calls)"
+_INNERMOST = """inner_calls AS MATERIALIZED (SELECT * FROM (SELECT c.*, x.id AS fn_id, x.class_name AS fn_class, x.start_line AS fn_start, x.end_line AS fn_end,
+  row_number() OVER (PARTITION BY c.file_id, c.callee, c.caller, c.caller_class_name, c.object_name, c.start_line ORDER BY x.start_line DESC, x.end_line, x.id) AS r
+  FROM dc c JOIN cf_functions x ON x.file_id = c.file_id AND x.name = c.caller AND c.start_line BETWEEN x.start_line AND x.end_line AND (c.caller_class_name IS NULL OR c.caller_class_name = x.class_name)) q WHERE r = 1)"""
+
+
+@_query(f"WITH {_DISTINCT_CALLS}, {_INNERMOST} SELECT file_id, callee, caller, start_line, count(*) AS n, min(fn_id) AS fn_id FROM inner_calls GROUP BY file_id, callee, caller, start_line")
+def enclosing_function(f: Facts) -> DataFrame:
+    found = resolve.enclosing(resolve.distinct_calls(f), f)
+    return found.groupBy("file_id", "callee", "caller", "start_line").agg(F.count("*").alias("n"), F.min("fn_id").alias("fn_id"))
+
+
+def _closure_sql(seed: str, up: bool) -> str:
+    step = "SELECT s.class_id AS src, p.id AS dst FROM cf_class_super_classes s JOIN cf_classes p ON p.name = s.super_class_name"
+    a, b = ("src", "dst") if up else ("dst", "src")
+    return f"""WITH RECURSIVE steps AS ({step}), seeds AS (SELECT id FROM cf_classes WHERE name = '{seed}'),
+walk AS (SELECT id FROM seeds UNION SELECT steps.{b} FROM walk JOIN steps ON steps.{a} = walk.id)
+SELECT c.name, c.kind, f.path, c.start_line, c.end_line FROM cf_classes c JOIN cf_files f ON f.id = c.file_id WHERE c.id IN (SELECT id FROM walk) AND c.id NOT IN (SELECT id FROM seeds)"""
+
+
+@_query(_closure_sql("Customer#000000001", True))
+def super_classes(f: Facts) -> DataFrame:
+    return hierarchy.super_classes(f, "Customer#000000001").select("name", "kind", "path", "start_line", "end_line")
+
+
+@_query(_closure_sql("NATION_3", False))
+def sub_classes(f: Facts) -> DataFrame:
+    return hierarchy.sub_classes(f, "NATION_3").select("name", "kind", "path", "start_line", "end_line")
+
+
+@_query("""WITH RECURSIVE ds AS (SELECT DISTINCT c.file_id, c.name AS class_name, s.super_class_name FROM cf_class_super_classes s JOIN cf_classes c ON c.id = s.class_id),
+walk AS (SELECT file_id, class_name, super_class_name AS ancestor FROM ds UNION SELECT w.file_id, w.class_name, d.super_class_name FROM walk w JOIN ds d ON d.file_id = w.file_id AND d.class_name = w.ancestor)
+SELECT file_id, class_name, ancestor FROM walk WHERE class_name <> ancestor""")
+def file_ancestors(f: Facts) -> DataFrame:
+    return hierarchy.file_ancestors(f)
+
+
+@_query(f"WITH {_DISTINCT_CALLS} SELECT dc.callee, count(*) AS n FROM dc JOIN (SELECT DISTINCT file_id, name FROM cf_functions WHERE name = '{FUNCTION}') x ON x.file_id = dc.file_id AND x.name = dc.caller GROUP BY dc.callee")
+def callees_exists(f: Facts) -> DataFrame:
+    own = f.functions.select("file_id", F.col("name").alias("caller"))
+    return resolve.distinct_calls(f).filter(F.col("caller") == FUNCTION).join(own, ["file_id", "caller"], "left_semi").groupBy("callee").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT name, CASE WHEN count(DISTINCT class_name) = 1 THEN min(class_name) END AS only_class FROM cf_functions WHERE class_name IS NOT NULL GROUP BY name")
+def unique_method_target(f: Facts) -> DataFrame:
+    return resolve.method_owners(f)
+
+
+@_query("SELECT x.id, x.name FROM cf_functions x WHERE EXISTS (SELECT 1 FROM cf_python_properties p JOIN cf_files f ON f.id = p.file_id WHERE f.language = 'en' AND p.property_name = x.name AND p.class_name = x.class_name)")
+def is_property(f: Facts) -> DataFrame:
+    en = f.of_language("en")
+    properties = en.scoped(en.python_properties).select(F.col("property_name").alias("name"), "class_name")
+    return f.functions.join(properties, ["name", "class_name"], "left_semi").select("id", "name")
+
+
+@_query(f"WITH {_DISTINCT_CALLS}, g AS (SELECT name, count(*) AS m FROM cf_functions GROUP BY name) SELECT dc.callee, CAST(sum(coalesce(g.m, 0)) AS BIGINT) AS n_candidates FROM dc LEFT JOIN g ON g.name = dc.callee GROUP BY dc.callee")
+def call_candidates(f: Facts) -> DataFrame:
+    g = f.functions.groupBy(F.col("name").alias("callee")).agg(F.count("*").alias("m"))  # counted before the join: a name has many functions and many calls
+    return resolve.distinct_calls(f).join(g, "callee", "left").groupBy("callee").agg(F.sum(F.coalesce("m", F.lit(0))).alias("n_candidates"))
+
+
+@_query(f"""WITH {_DISTINCT_CALLS}, {_INNERMOST},
+ft AS MATERIALIZED (SELECT DISTINCT file_id, class_name, unnest(regexp_split_to_array(field_type, '[^A-Za-z0-9_]+')) AS token FROM cf_fields WHERE field_type IS NOT NULL AND name = 'attr2')
+SELECT i.fn_id, i.callee, i.start_line, count(*) AS n_tokens FROM inner_calls i JOIN ft ON ft.file_id = i.file_id AND ft.class_name = i.fn_class WHERE i.object_kind = 3 GROUP BY i.fn_id, i.callee, i.start_line""")
+def typed_receiver(f: Facts) -> DataFrame:
+    inside = resolve.enclosing(resolve.distinct_calls(f).filter("object_name = 'self.attr2'"), f)
+    typed = resolve.with_receiver(inside, f).filter("field_tokens IS NOT NULL")
+    return typed.groupBy("fn_id", "callee", "start_line").agg(F.sum(F.size("field_tokens").cast("long")).alias("n_tokens"))
+
+
+@_query(f"""WITH {_DISTINCT_CALLS}
+SELECT DISTINCT coalesce(dc.caller, '<module>') AS caller, f.path, dc.start_line, dc.end_line FROM dc JOIN cf_files f ON f.id = dc.file_id WHERE dc.callee = '{FUNCTION}'
+UNION SELECT r.caller, f.path, r.start_line, r.end_line FROM cf_python_property_callers r JOIN cf_files f ON f.id = r.file_id WHERE r.property_name = '{FUNCTION}' AND r.property_name IN (SELECT property_name FROM cf_python_properties)""")
+def callers(f: Facts) -> DataFrame:
+    return edges.callers(f, FUNCTION)
+
+
+@_query()
+def callers_of_method(f: Facts) -> DataFrame:
+    return edges.callers(f, FUNCTION, CLASS)
+
+
+@_query()
+def callees(f: Facts) -> DataFrame:
+    return edges.callees(f, FUNCTION)
+
+
+@_query()
+def callers_dotted(f: Facts) -> DataFrame:
+    return edges.callers(f, f"mod.{FUNCTION}")
+
+
+def _starts(f: Facts) -> DataFrame:
+    return f.functions.filter(F.col("name") == FUNCTION)
+
+
+@_query(f"""WITH {_DISTINCT_CALLS}, {_INNERMOST}
+SELECT i.fn_id AS src, g.id AS dst, i.start_line AS site_line FROM inner_calls i JOIN cf_functions g ON g.name = i.callee AND g.class_name = i.fn_class
+WHERE i.object_kind = 1 AND i.caller LIKE 'blue%' AND i.fn_class IS NOT DISTINCT FROM i.caller_class_name GROUP BY i.fn_id, g.id, i.start_line""")
+def forward_self_calls(f: Facts) -> DataFrame:
+    inside = resolve.enclosing(resolve.distinct_calls(f).filter(F.col("caller").like("blue%")).filter("object_name = 'self'"), f)
+    met = resolve.resolve_forward(resolve.with_receiver(inside.filter(F.col("fn_class").eqNullSafe(F.col("caller_class_name"))), f), f)
+    return met.filter("g_id >= 0").select(F.col("fn_id").alias("src"), F.col("g_id").alias("dst"), F.col("start_line").alias("site_line")).distinct()
+
+
+@_query(f"""WITH {_DISTINCT_CALLS}, {_INNERMOST},
+c AS (SELECT DISTINCT fn_id, file_id, fn_class, callee, start_line FROM inner_calls WHERE object_kind = 0 AND caller = '{FUNCTION}' AND fn_class IS NOT DISTINCT FROM caller_class_name),
+m AS (SELECT c.*, g.id AS g_id, coalesce(g.class_name = c.fn_class, false) AS own, g.class_name IS NULL AS is_global, g.class_name IS NULL AND g.file_id = c.file_id AS here FROM c JOIN cf_functions g ON g.name = c.callee),
+w AS (SELECT *, max(CASE WHEN here THEN 1 ELSE 0 END) OVER (PARTITION BY fn_id, callee, start_line) AS any_here FROM m),
+p AS (SELECT *, own OR CASE WHEN any_here = 1 THEN here ELSE is_global END AS pick FROM w),
+q AS (SELECT *, max(CASE WHEN pick THEN 1 ELSE 0 END) OVER (PARTITION BY fn_id, callee, start_line) AS picked FROM p)
+SELECT DISTINCT fn_id AS src, g_id AS dst, start_line AS site_line FROM q WHERE pick OR picked = 0""")
+def forward_plain_calls(f: Facts) -> DataFrame:
+    inside = resolve.enclosing(resolve.distinct_calls(f).filter(F.col("caller") == FUNCTION).filter("object_name IS NULL"), f)
+    met = resolve.resolve_forward(resolve.with_receiver(inside.filter(F.col("fn_class").eqNullSafe(F.col("caller_class_name"))), f), f)
+    return met.filter("g_id >= 0").select(F.col("fn_id").alias("src"), F.col("g_id").alias("dst"), F.col("start_line").alias("site_line")).distinct()
+
+
+@_query()
+def forward_edges(f: Facts) -> DataFrame:
+    return edges.forward_edges(f, _starts(f))
+
+
+@_query()
+def backward_edges(f: Facts) -> DataFrame:
+    return edges.backward_edges(f, _starts(f))
+
+
+@_query()
+def graph_forward(f: Facts) -> DataFrame:
+    return graph.find_paths(f, FUNCTION, CLASS, depth=1).select("depth", _strings("stacktrace").alias("stacktrace"))
+
+
+@_query()
+def graph_backward(f: Facts) -> DataFrame:
+    return graph.find_paths(f, FUNCTION, CLASS, depth=1, forward=False).select("depth", _strings("stacktrace").alias("stacktrace"))
+
+
+def _bound(work: Callable[[Facts], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: work(fixtures.facts(spark, sf_dir))
+
+
+QUERIES = {name: _bound(work) for name, work in _WORK.items()}
+ORACLE_SQL = {name: fixtures.duckdb(sql) for name, sql in _SQL.items()}
