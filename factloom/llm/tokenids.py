@@ -86,7 +86,7 @@ def pack(ids: np.ndarray, documents: list[tuple[int | None, int]]) -> bytes:
     packed: list[bytes] = [b""] * blocks
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
-        bits = ((over[rows][:, :, None] >> np.arange(w)) & 1).astype(np.uint8).reshape(len(rows), -1)
+        bits = np.unpackbits(over[rows].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :w].reshape(len(rows), -1)
         for r, line in zip(rows, np.packbits(bits, axis=1, bitorder="little") if w else np.zeros((len(rows), 0), np.uint8), strict=True):
             packed[r] = line[: -(-int(sizes[r]) * int(w) // 8)].tobytes()
     for r in np.flatnonzero(exceptions):
@@ -136,7 +136,25 @@ class Segment:
         return values + int(self._low[k])
 
     def ids(self) -> np.ndarray:
-        return np.concatenate([self.block(k) for k in range(self.n_blocks)]) if self.n_blocks else np.zeros(0, np.int64)
+        """All ids; whole blocks of one width are unpacked together."""
+        if not self.n_blocks:
+            return np.zeros(0, np.int64)
+        out = np.zeros((self.n_blocks, BLOCK), dtype=np.int64)
+        raw = np.frombuffer(self._raw, np.uint8)
+        whole, at = self.n_blocks - 1, self._at + self._starts.astype(np.int64)
+        for w in np.unique(self._width[:whole]):
+            rows = np.flatnonzero(self._width[:whole] == w)
+            w = int(w)
+            if w:
+                packed = raw[at[rows][:, None] + np.arange(BLOCK * w // 8)]
+                bits = np.zeros((len(rows) * BLOCK, 32), dtype=np.uint8)
+                bits[:, :w] = np.unpackbits(packed, bitorder="little").reshape(-1, w)
+                out[rows] = np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(len(rows), BLOCK)
+            for r in rows[self._exceptions[rows] > 0]:
+                x, high = int(self._exceptions[r]), at[r] + BLOCK * w // 8
+                out[r, raw[high : high + 2 * x].copy().view("<u2")] |= raw[high + 2 * x : high + 6 * x].copy().view("<u4").astype(np.int64) << w
+        out[:whole] += self._low[:whole].astype(np.int64)[:, None]
+        return np.concatenate([out[:whole].ravel(), self.block(whole)])
 
 
 # ---- encoding ---------------------------------------------------------------------------------
@@ -182,7 +200,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.split:
             return self._plain(texts)
-        cut: list[list[str] | None] = [None if _OTHER.search(t) else _RUN.findall(t) if _ODD.search(t) else _PIECE.findall(t) for t in texts]
+        cut: list[list[str] | None] = [_PIECE.findall(t) if not _ODD.search(t) else None if _OTHER.search(t) else _RUN.findall(t) for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
         new: set[str] = set()
