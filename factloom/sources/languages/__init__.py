@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from .go import snapshot as _go
 from .python import snapshot as _python
 
 #: Extensions of each language.
 EXTENSIONS = {"python": ("py", "pyw", "pyi"), "javascript": ("js", "mjs", "cjs", "jsx"), "typescript": ("ts",), "tsx": ("tsx",), "java": ("java",), "go": ("go",)}
 BY_EXTENSION = {e: language for language, all_of in EXTENSIONS.items() for e in all_of}
 #: Engines: text to facts. Languages without one yet are found and counted, and reported as failed.
-ENGINES = {"python": _python}
+ENGINES = {"go": _go, "python": _python}
 
 
 def detect(path: str) -> str | None:
