@@ -9,77 +9,23 @@ and so do the calls in their bodies. Names of references have the kinds ``packag
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
-Row = dict[str, object]
+from .tokens import CLOSE, OPEN, File, Row, lex
+
 _TOKEN = re.compile(r"(?P<skip>//[^\n]*|/\*.*?\*/|[ \t\r]+)|(?P<line>\n)|(?P<text>`[^`]*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')|(?P<name>[^\W\d]\w*)|(?P<number>\d[\w.]*)|(?P<mark>\.\.\.|.)", re.DOTALL)
 #: The keywords of the language.
 KEYWORDS = frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split())
-_OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
-
-
-@dataclass
-class Token:
-    kind: str
-    text: str
-    line: int
-    start: int
-    end: int
 
 
-class _File:
+class _File(File):
     def __init__(self, text: str) -> None:
-        self.text, self.tokens, line = text, [], 1
-        for m in _TOKEN.finditer(text):
-            if m.lastgroup != "skip":
-                kind = "keyword" if m.lastgroup == "name" and m[0] in KEYWORDS else m.lastgroup
-                self.tokens.append(Token(kind, m[0], line, m.start(), m.end()))
-            line += m[0].count("\n")
-        self.pair: dict[int, int] = {}
-        stack: list[int] = []
-        for k, t in enumerate(self.tokens):
-            if t.kind == "mark" and t.text in _OPEN:
-                stack.append(k)
-            elif t.kind == "mark" and t.text in _CLOSE and stack and _OPEN[self.tokens[stack[-1]].text] == t.text:
-                self.pair[k] = stack[-1]
-                self.pair[stack.pop()] = k
-
-    def at(self, k: int) -> str:
-        return self.tokens[k].text if 0 <= k < len(self.tokens) else ""
-
-    def kind(self, k: int) -> str:
-        return self.tokens[k].kind if 0 <= k < len(self.tokens) else ""
-
-    def source(self, a: int, b: int) -> str:
-        """The text of tokens a..b-1."""
-        return self.text[self.tokens[a].start : self.tokens[b - 1].end] if a < b else ""
-
-    def span(self, a: int, b: int) -> Row:
-        last = self.tokens[b]
-        return {"start_line": self.tokens[a].line, "end_line": last.line + last.text.count("\n") * (last.kind == "text")}
-
-    def pieces(self, a: int, b: int, marks: tuple[str, ...]) -> list[tuple[int, int]]:
-        """Token ranges between the marks, brackets kept whole, without empty ones."""
-        out, begin, k = [], a, a
-        while k < b:
-            if self.at(k) in marks:
-                out.append((begin, k))
-                begin = k + 1
-            k = self.pair.get(k, k) + 1 if self.at(k) in _OPEN else k + 1
-        return [self._trim(x, y) for x, y in [*out, (begin, b)] if any(self.kind(k) != "line" for k in range(x, y))]
-
-    def _trim(self, a: int, b: int) -> tuple[int, int]:
-        while self.kind(a) == "line":
-            a += 1
-        while self.kind(b - 1) == "line":
-            b -= 1
-        return a, b
+        super().__init__(text, lex(text, _TOKEN, KEYWORDS))
 
     def base(self, a: int, b: int) -> str | None:
         """The last name of a type before its type arguments: ``*p.T[K]`` gives ``T``."""
         found = None
         for k in range(a, b):
-            if self.at(k) in _OPEN and found:
+            if self.at(k) in OPEN and found:
                 break
             if self.kind(k) == "name":
                 found = self.at(k)
@@ -129,7 +75,7 @@ def _functions(f: _File) -> list[tuple[int, int, Row]]:
             if f.at(k2) == "{" and f.at(k2 - 1) not in ("struct", "interface"):
                 end = f.pair.get(k2, k2)
                 break
-            k2 = f.pair.get(k2, k2) if f.at(k2) in _OPEN else k2
+            k2 = f.pair.get(k2, k2) if f.at(k2) in OPEN else k2
             end, k2 = k2, k2 + 1
         out.append((k, end, {"name": name, "class_name": owner, **f.span(k, end), "params": _params(f, at + 1, close)}))
     return out
@@ -178,7 +124,7 @@ def _operand(f: _File, dot: int) -> int:
     """The first token of the operand that ends before the dot."""
     k = dot - 1
     while True:
-        while f.at(k) in _CLOSE and k in f.pair:
+        while f.at(k) in CLOSE and k in f.pair:
             k = f.pair[k] - 1
         if f.kind(k) != "name":
             return k + 1
@@ -221,11 +167,9 @@ def _refs(f: _File) -> list[Row]:
     out = []
     for k, t in enumerate(f.tokens):
         if t.kind == "name":
-            begin = f.text.rfind("\n", 0, t.start) + 1
-            column = len(f.text[begin : t.start].encode())
             before = f.at(k - 1)
             kind = {"package": "package_identifier", ".": "field_identifier", "type": "type_identifier"}.get(before, "identifier")
-            out.append({"name": t.text, "node_type": kind, "start_line": t.line, "end_line": t.line, "start_column": column, "end_column": column + len(t.text.encode())})
+            out.append(f.place(k, kind))
     return out
 
 
