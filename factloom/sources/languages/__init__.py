@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from .go import snapshot as _go
 from .java import snapshot as _java
+from .javascript import javascript as _javascript
+from .javascript import tsx as _tsx
+from .javascript import typescript as _typescript
 from .python import snapshot as _python
 
 #: Extensions of each language.
 EXTENSIONS = {"python": ("py", "pyw", "pyi"), "javascript": ("js", "mjs", "cjs", "jsx"), "typescript": ("ts",), "tsx": ("tsx",), "java": ("java",), "go": ("go",)}
 BY_EXTENSION = {e: language for language, all_of in EXTENSIONS.items() for e in all_of}
-#: Engines: text to facts. Languages without one yet are found and counted, and reported as failed.
-ENGINES = {"go": _go, "java": _java, "python": _python}
+#: Engines: text to facts.
+ENGINES = {"go": _go, "java": _java, "javascript": _javascript, "python": _python, "tsx": _tsx, "typescript": _typescript}
 
 
 def detect(path: str) -> str | None:

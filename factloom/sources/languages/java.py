@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 
-from .tokens import CLOSE, OPEN, File, Row, lex
+from .tokens import CLOSE, OPEN, File, Row, innermost, lex
 
 _TOKEN = re.compile(
     r"(?P<skip>//[^\n]*|/\*.*?\*/|\s+)|(?P<text>\"\"\".*?\"\"\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')|(?P<name>[^\W\d][\w$]*|\$[\w$]*)|(?P<number>\d[\w.]*)|(?P<mark>\.\.\.|->|::|.)", re.DOTALL
@@ -296,10 +296,11 @@ def _operand(f: _File, dot: int) -> int:
 
 def _calls(f: _File) -> list[Row]:
     out: list[tuple[int, int, Row]] = []
+    functions, classes = (innermost(len(f.tokens), [x[:2] for x in of]) for of in (f.functions, f.classes))
 
     def add(first: int, end: int, callee: str, target: str | None) -> None:
-        fn = max((x for x in f.functions if x[0] <= first <= x[1]), key=lambda x: x[0], default=None)
-        cls = max((x for x in f.classes if x[0] <= first <= x[1]), key=lambda x: x[0], default=None)
+        fn = f.functions[functions[first]] if functions[first] >= 0 else None
+        cls = f.classes[classes[first]] if classes[first] >= 0 else None
         row = {"callee": callee, "caller": fn[2]["name"] if fn else None, "caller_class_name": cls[2]["name"] if cls else None, "object_name": target, **f.span(first, end)}
         out.append((f.tokens[first].start, -f.tokens[end].end, row))
 

@@ -82,3 +82,12 @@ class File:
         a, b = self.tokens[k], self.tokens[k if last is None else last]
         begin, end = (self.text.rfind("\n", 0, t.start) + 1 for t in (a, b))
         return {"name": self.text[a.start : b.end], "node_type": node_type, "start_line": a.line, "end_line": b.line, "start_column": len(self.text[begin : a.start].encode()), "end_column": len(self.text[end : b.end].encode())}
+
+
+def innermost(n: int, ranges: list[tuple[int, int]]) -> list[int]:
+    """For each of n tokens the place in ``ranges`` of the innermost range (first and last token) around it, or -1."""
+    out = [-1] * n
+    for place in sorted(range(len(ranges)), key=lambda x: (ranges[x][0], -ranges[x][1])):
+        first, last = ranges[place][0], min(ranges[place][1], n - 1)
+        out[first : last + 1] = [place] * (last + 1 - first)
+    return out
