@@ -21,9 +21,10 @@ Segments are rows of a Parquet table (part, segment, ids before it in the part,
 retried tasks harmless and any store that Spark can write will do. The first id's number of each part
 is in the table ``<path>-parts``, from one count for each part.
 
-Encoding looks up pieces of text between spaces, which the tokenizer's pattern never joins, and asks
-the tokenizer for the pieces not met before (a bounded memo in each worker); texts with other white
-space, or runs of it, are encoded piecewise at safe places or as a whole.
+Encoding looks up the words between single spaces and line ends, which the tokenizer's pattern never
+joins, in a bounded memo in each worker. Words not met before go through the tokenizer: Latin ones to
+its model, piece by piece, others (and texts with runs of spaces) through the whole of it; texts with
+white space of other kinds are encoded as a whole.
 
 Defined cases: null texts count as empty and have the end id only; repeated ids keep one entry each,
 ordered by a hash of the text; an empty table gives an empty result; extra columns are ignored.
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import sys
 import uuid
 import zlib
@@ -40,6 +42,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,10 +55,20 @@ MEMO = 1_200_000
 #: Texts encoded at a time.
 TEXTS_BYTES = 4 << 20
 
-_ODD = re.compile(r"[^\S \n]|[ \n]{2}|[ \n]\Z")
-_PIECE = re.compile(r" ?[^ \n]+|\n")
-_OTHER = re.compile(r"[^\S \n]")
+_OTHER = re.compile(r"[^\S \n]|[\x00-\x09\x0b-\x1f\x7f-\xa0]")
 _RUN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Words of characters whose classes are the same in every version of Unicode.
+_LATIN = re.compile(r"[!-~\xa1-\u024f]+\Z")
+#: Fixed value: how byte-level BPE cuts text before it merges.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_RUNS = ("  ", " \n", "\n ", "\n\n")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level BPE's letter for each byte: printable ones stand for themselves, the rest follow from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
 
 
 # ---- blocks -----------------------------------------------------------------------------------
@@ -161,7 +174,7 @@ class Segment:
 
 
 class Encoder:
-    """Ids of texts as little-endian u32 bytes, with a memo of pieces that lasts as long as the worker."""
+    """Ids of texts as little-endian u32 bytes, with memos of words that last as long as the worker."""
 
     def __init__(self, tokenizer: str, name: str) -> None:
         from tokenizers import Tokenizer
@@ -170,47 +183,78 @@ class Encoder:
         if name not in kept:
             made = Tokenizer.from_str(tokenizer)
             made.encode_special_tokens = True
-            newline = made.encode("\n", add_special_tokens=False).ids
-            kept[name] = (made, {}, newline[0] if len(newline) == 1 else None)
-        self.tokenizer, self.memo, self.newline = kept[name]
+            kept[name] = (made, made.model, {}, {}, {})
+        #: Memos: words after a space, words that begin a line (and whole runs), pieces; None: not to be encoded apart.
+        self.tokenizer, self.model, self.spaced, self.bare, self.pieces = kept[name]
         # The shortcuts below hold for byte-level BPE with the usual pattern; anything else is encoded whole.
         spec = json.loads(tokenizer)
-        pre = spec.get("pre_tokenizer") or {}
-        self.split = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec.get("normalizer") is None and self.newline is not None
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        usual = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec.get("normalizer") is None
+        self.split = usual and model.get("type") == "BPE" and not model.get("dropout") and all(t["special"] for t in spec.get("added_tokens") or [])
+        self.letters = _byte_letters()
+        self.newline = self._piece("\n") if self.split else b""
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Pieces without a line end, one for each line of one text; the rest one by one."""
-        lines = [p for p in pieces if "\n" not in p and not _ODD.search(p)]
-        rest = [p for p in pieces if "\n" in p or _ODD.search(p)]
-        for lo in range(0, len(lines), 2000):
-            part = lines[lo : lo + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.newline)
-            if len(cuts) != len(part) - 1:
-                raise AssertionError("a line end was not kept apart")
-            raw, edges = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
-            for p, a, b in zip(part, edges[:-1], edges[1:], strict=True):
-                self.memo[p] = raw[4 * a + 4 : 4 * b]
-        for p, x in zip(rest, self._plain(rest), strict=True):
-            self.memo[p] = x
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, memo: dict[str, bytes | None], words: set[str], before: str) -> None:
+        others = []
+        known = self.pieces
+        for word in words:
+            if _LATIN.match(word):
+                ids = []
+                for piece in _PIECES.findall(before + word):
+                    if (x := known.get(piece)) is None:
+                        x = known[piece] = self._piece(piece)
+                    ids.append(x)
+                memo[word] = ids[0] if len(ids) == 1 else b"".join(ids)
+            elif _OTHER.search(word):
+                memo[word] = None
+            else:
+                others.append(word)
+        for word, x in zip(others, self._plain([before + w for w in others]), strict=True):
+            memo[word] = x
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.split:
             return self._plain(texts)
-        cut: list[list[str] | None] = [_PIECE.findall(t) if not _ODD.search(t) else None if _OTHER.search(t) else _RUN.findall(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new: set[str] = set()
-        for pieces in cut:
-            new.update(pieces or ())
-        new.difference_update(self.memo)
-        self._learn(new)
-        get = self.memo.__getitem__
-        whole = iter(self._plain([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [next(whole) if c is None else b"".join(map(get, c)) for c in cut]
+        for memo in (self.spaced, self.bare, self.pieces):
+            if len(memo) > MEMO // (1 if memo is self.spaced else 6):
+                memo.clear()
+        # A text is lines of words, or its runs where white space is not single.
+        cut: list[list[list[str]] | list[str]] = []
+        spaced: set[str] = set()
+        bare: set[str] = set()
+        for t in texts:
+            if any(r in t for r in _RUNS) or t[:1] in (" ", "\n") or t[-1:] in (" ", "\n"):
+                cut.append(_RUN.findall(t))
+                bare.update(cut[-1])
+                continue
+            lines = [line.split(" ") for line in t.split("\n")] if t else []
+            for words in lines:
+                spaced.update(words)
+                bare.add(words[0])
+            cut.append(lines)
+        spaced.difference_update(self.spaced)
+        bare.difference_update(self.bare)
+        self._learn(self.spaced, spaced, " ")
+        self._learn(self.bare, bare, "")
+        out: list[bytes | None] = []
+        after, first = self.spaced.__getitem__, self.bare.__getitem__
+        for parts in cut:
+            try:
+                if parts and isinstance(parts[0], str):
+                    out.append(b"".join(map(first, parts)))
+                else:
+                    out.append(self.newline.join([first(words[0]) + b"".join(map(after, words[1:])) for words in parts]))
+            except TypeError:  # a word that is not to be encoded apart
+                out.append(None)
+        whole = iter(self._plain([t for t, x in zip(texts, out, strict=True) if x is None]))
+        return [next(whole) if x is None else x for x in out]
 
 
 def _writer(tokenizer: object, name: str, end_id: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
