@@ -176,6 +176,28 @@ def test_token_ids_round_trip(spark, odd, tmp_path):
     assert got == want
 
 
+def test_token_encoder_equals_tokenizer():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as file:
+        encoder = tokenids.Encoder(file.read(), "fuzz")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    pick = random.Random(5)
+    letters = list("abZé'st1,.# \n\t　中ß\xa0\x85\x1c​ñ́ſ²½ـא\x00\xad🙂")
+    words = ["<|endoftext|>", "don't", "I'll", "x'", "''s", "  ", "\n\n", " \n", "a\tb", " ", "Straße,", "中文字", "12.5%"]
+    texts = ["".join(pick.choice(letters if pick.random() < 0.8 else words) for _ in range(pick.randint(0, 40))) for _ in range(4000)]
+    texts += [" ".join(pick.choice(words) for _ in range(pick.randint(0, 12))) for _ in range(2000)]
+    assert encoder.split
+    for _ in range(2):  # with empty memos and with full ones
+        for text, ids in zip(texts, encoder(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_chat_folds_and_round_trips(spark):
     events = [
         (1, 1, "message", 1, "user", "hi"), (1, 2, "message", 2, "assistant", ""), (1, 3, "delta", 2, None, "he"), (1, 4, "delta", 2, None, "llo"), (1, 5, "message", 3, "user", "bye"),
