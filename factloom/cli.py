@@ -7,6 +7,7 @@ import json
 import os
 import sys
 from dataclasses import asdict
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
@@ -26,13 +27,27 @@ def _present(**values: object) -> dict:
     return {k: v for k, v in values.items() if v is not None}
 
 
+@lru_cache(maxsize=64)
+def _lines(path: str) -> list[str]:
+    try:
+        with open(path, encoding="utf-8", errors="replace") as file:
+            return file.readlines()
+    except OSError:
+        return []
+
+
+def _source(r: Row) -> str:
+    """The lines of a fact as its file has them now; empty if it can't be read."""
+    return "".join(_lines(r["path"])[r["start_line"] - 1 : r["end_line"]]).strip()
+
+
 _VIEWS = {
     "functions": lambda r, p: _present(name=r["name"], location=p, class_name=r["class_name"], params=[_present(name=x["name"], type=x["type"]) for x in r["params"]]),
     "classes": lambda r, p: {"name": r["name"], "kind": r["kind"], "location": p, "methods": r["methods"], "fields": r["fields"]},
     "fields": lambda r, p: _present(name=r["name"], location=p, type=r["field_type"]),
     "imports": lambda r, p: {"module": r["module"], "location": p},
     "annotations": lambda r, p: {"name": r["name"], "source": r["signature"], "location": p, "target": {"name": r["target_name"], "kind": r["target_type"], "source": r["target_signature"]}},
-    "refs": lambda r, p: {"name": r["name"], "kind": r["node_type"], "location": p},
+    "refs": lambda r, p: {"name": r["name"], "kind": r["node_type"], "location": p, "source": _source(r)},
     "callers": lambda r, p: {"caller": r["caller"], "location": p},
     "callees": lambda r, p: {"callee": r["callee"], "location": p},
 }
@@ -82,16 +97,8 @@ def _ask(a: argparse.Namespace, facts: object) -> DataFrame:
     }[a.command]()
 
 
-def _source(r: Row) -> str:
-    """The lines of a definition as the file has them now; empty if it can't be read."""
-    try:
-        with open(r["path"], encoding="utf-8", errors="replace") as file:
-            return "".join(file.readlines()[r["start_line"] - 1 : r["end_line"]]).strip()
-    except OSError:
-        return ""
-
-
 def run(spark: SparkSession, argv: list[str]) -> dict:
+    _lines.cache_clear()
     a = parser().parse_args(argv)
     root = os.path.realpath(a.path)
     store = FactStore(spark, a.store)

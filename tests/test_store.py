@@ -88,3 +88,23 @@ def test_commands_and_incremental_sync(spark, tmp_path):
     report = ask("index", str(tree))[0]
     assert (report["indexed"], report["reparsed"]) == (2, 2)
     assert sorted(r["name"] for r in FactStore(spark, store).facts().functions.collect()) == ["fresh", "helper2"]
+
+
+def test_every_language_is_indexed(spark, tmp_path):
+    tree, store = tmp_path / "tree", str(tmp_path / "store")
+    tree.mkdir()
+    (tree / "a.py").write_text("def work():\n    pass\n")
+    (tree / "b.js").write_text("class Up { work() {} }\nclass Down extends Up { work() { super.work(); } }\n")
+    (tree / "c.ts").write_text("export class Repo { constructor(private api: Api) {} work() { this.api.send(); } }\nclass Api { send() {} }\n")
+    (tree / "d.tsx").write_text("const View = () => <p title={name()}>Don't</p>;\n")
+    (tree / "e.java").write_text("class Left { int size; @Override void work() { new Left(); } }\n")
+    (tree / "f.go").write_text("package x\nfunc work() { help() }\n")
+    ask = lambda *argv: cli.run(spark, ["--store", store, *argv])["results"]
+    report = ask("index", str(tree))[0]
+    assert (report["candidates"], report["failed"], report["errors"]) == (6, 0, [])
+    assert [(f["location"]["file"], f.get("class_name")) for f in ask("functions", str(tree), "-q", "^work$")] == [("a.py", None), ("b.js", "Up"), ("b.js", "Down"), ("c.ts", "Repo"), ("e.java", "Left"), ("f.go", None)]
+    assert [c["caller"] for c in ask("callers", str(tree), "-f", "send", "-c", "Api")] == ["work"]
+    assert [c["caller"] for c in ask("callers", str(tree), "-f", "name")] == ["View"]
+    assert [c["name"] for c in ask("super-classes", str(tree), "-c", "Down")] == ["Up"]
+    assert [a["target"]["kind"] for a in ask("annotations", str(tree), "-l", "java")] == ["method"]
+    assert [r["source"] for r in ask("refs", str(tree), "-n", "help")] == ["func work() { help() }"]
