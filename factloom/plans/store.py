@@ -45,12 +45,20 @@ class FactStore:
         return json.loads(self.spark.read.text(f"{self.path}/current.json", wholetext=True).first()[0])
 
     def _publish(self, meta: dict) -> None:
+        """Replace the pointer file in one step, and remove versions that neither it nor the one before it named."""
         new, place = self._hadoop.Path(f"{self.path}/next.json"), self._hadoop.Path(f"{self.path}/current.json")
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
-        self._fs.delete(place, False)
-        self._fs.rename(new, place)
+        kind = getattr(self._hadoop, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)  # noqa: SLF001
+        how[0] = kind.OVERWRITE
+        context = self._hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())  # noqa: SLF001
+        context.rename(self._fs.makeQualified(new), self._fs.makeQualified(place), how)
+        for status in self._fs.listStatus(self._hadoop.Path(self.path)):
+            name = status.getPath().getName()
+            if name[:1] == "v" and name[1:].isdigit() and int(name[1:]) < meta["version"] - 1:
+                self._fs.delete(status.getPath(), True)
 
     def facts(self) -> Facts:
         meta = self.meta()

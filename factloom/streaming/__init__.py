@@ -1 +1 @@
-
+"""Structured Streaming over source trees."""
