@@ -147,8 +147,9 @@ class _File(File):
         last, k, methods = self.pair[brace], brace + 1, []
         if kind == "enum":
             k = self.constants(k, last, owner)
+        first = -1
         while k < last:
-            first = k
+            first = k = max(k, first + 1)
             k, notes, head = self.modifiers(k)
             if k >= last:
                 break
@@ -199,7 +200,7 @@ class _File(File):
                 self.typed(at, at + 1)
             elif self.at(at - 1) == "default":  # an array as the default of an annotation's element
                 at = self.pair.get(at, at) + 1
-        end = self.pair.get(at, at)
+        end = self.pair.get(at, at) if self.at(at) == "{" else at
         told = self.source(head, at).rstrip()
         row = {"name": self.at(name), "class_name": owner, **self.span(first, end), "params": self.params(name + 1, told)}
         self.functions.append((first, end, row))

@@ -514,7 +514,7 @@ class _Bindings:
                 elif re.fullmatch(r"this(?:\.#?[\w$]+)+", text):
                     give(k, name, text)
             elif f.at(k) == "of" and f.kind(k - 1) == "name" and f.at(k - 2) in ("const", "let", "var", "(") and f.kind(k + 1) == "name" and f.at(k + 2) == ")":
-                put(k, f.at(k - 1), self.aliases.get(f.at(k + 1), [(0, ())])[-1][1], False)
+                put(k, f.at(k - 1), (self.aliases.get(f.at(k + 1)) or [(0, ())])[-1][1], False)
 
     def leaves(self, at: int, name: str) -> list[str]:
         seen, out, queue = set(), set(), [name]

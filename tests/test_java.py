@@ -1,5 +1,8 @@
 """Facts of a Java file."""
 
+import random
+import re
+
 from factloom.sources.languages.java import snapshot
 
 CODE = '''package shop.core;
@@ -87,3 +90,16 @@ def test_java_broken_and_empty():
     for cut in range(0, len(CODE), 7):
         snapshot(CODE[:cut])
         snapshot(CODE[cut:])
+
+
+def test_java_mutated_files_end():
+    pick, words = random.Random(3), re.findall(r"\w+|\s+|.", CODE)
+    for _ in range(150):
+        x = words[:]
+        for _ in range(pick.randint(1, 12)):
+            at = pick.randrange(len(x))
+            if pick.random() < 0.5:
+                del x[at]
+            else:
+                x.insert(at, pick.choice(words))
+        snapshot("".join(x))
