@@ -145,27 +145,33 @@ class Rule:
     keywords: frozenset[bytes]
 
 
-def _keywords(phrase: str) -> frozenset[bytes]:
-    """Words that every match of the phrase holds: those outside groups and optional parts."""
-    plain = re.sub(r"\(\?:[^()]*\)\??|\S*[?\[\]{}.*\\]\S*", " ", phrase)
-    return frozenset(w.encode() for w in plain.split())
+def _keywords(pattern: str) -> frozenset[bytes]:
+    """Words that every match of the pattern holds: those outside groups and optional parts, and that no optional space joins to another."""
+    plain = re.sub(r"\(\?:[^()|]* \)\?|\(\?: [^()|]*(?:\| [^()|]*)*\)\?", "", pattern)  # groups of whole words
+    plain = re.sub(r"\(\?:[^()]*\)\??", "*", plain)
+    plain = re.sub(r"\S+ \?\S+", "*", plain)
+    return frozenset(w.encode() for w in plain.split() if not re.search(r"[?\[\]{}.*\\|()]", w))
 
 
 def rules() -> tuple[Rule, ...]:
     """The rules in order of priority: for each family identifier lines, grants, versions, the name and short mentions."""
     out: dict[tuple[int, str, str], frozenset[bytes]] = {}
+
+    def add(priority: int, label: str, pattern: str) -> None:
+        out[priority, label, pattern] = _keywords(pattern)
+
     for label, stem, name, versions in FAMILIES:
         tail = "(?: only| or later| plus)?"
         for v in (*versions, ""):
             ident, full = f"{stem} {v}".strip(), f"{name}(?: v| version)? ?{v}" if v else name
-            out[IDENTIFIER, label, f"spdx license identifier {ident}{tail}"] = _keywords(f"spdx license identifier {ident}")
-            out[GRANT, label, f"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of the )?{full}"] = _keywords(f"under {name}")
+            add(IDENTIFIER, label, f"spdx license identifier {ident}{tail}")
+            add(GRANT, label, f"(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of the )?{full}")
             if v:
-                out[VERSIONED, label, full] = _keywords(name)
-                out[VERSIONED, label, f"{stem} v?{v}{tail}"] = _keywords(stem)
-        out[NAMED, label, name] = _keywords(name)
+                add(VERSIONED, label, full)
+                add(VERSIONED, label, f"{stem} v?{v}{tail}")
+        add(NAMED, label, name)
         if label != "unlicense" and f"{stem} license" != name:
-            out[MENTION, label, f"{stem} licen[cs]ed?"] = _keywords(stem)
+            add(MENTION, label, f"{stem} licen[cs]ed?")
     for label, pattern, keywords in NOTICES:
         out[GRANT, label, pattern] = frozenset(k.encode() for k in keywords)
     made = [Rule(p, label, rb"(?<![^ ])" + pattern.encode() + rb"(?![^ ])", keys) for (p, label, pattern), keys in out.items()]

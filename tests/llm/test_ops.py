@@ -233,6 +233,50 @@ def test_licenses(odd):
     assert licenses.scan_licenses(odd).count() == len(ODD)
 
 
+def _matches(pattern):
+    """Strings that a pattern can match: every choice and optional part, and for a long repeat the least and two."""
+    from re import _constants as C
+    from re import _parser
+
+    def of(node):
+        done = {""}
+        for op, value in node:
+            if op is C.LITERAL:
+                here = {chr(value)}
+            elif op is C.ANY:
+                here = {"y"}
+            elif op is C.IN:
+                here = {c for kind, x in value for c in ([chr(x)] if kind is C.LITERAL else [chr(x[0]), chr(x[1])])}
+            elif op is C.BRANCH:
+                here = set().union(*map(of, value[1]))
+            elif op is C.SUBPATTERN:
+                here = of(value[3])
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+                each = of(value[2])
+                here = {a * n for a in each for n in {value[0], min(value[1], 2)}}
+            else:
+                raise ValueError(op)
+            done = {a + b for a in done for b in here}
+        return done
+
+    return of(_parser.parse(pattern))
+
+
+def test_license_keywords_stand_in_every_match():
+    for rule in licenses.RULES:
+        pattern = rule.pattern.decode().removeprefix("(?<![^ ])").removesuffix("(?![^ ])")
+        for text in _matches(pattern):
+            found = set(licenses.words(text.encode()))
+            assert rule.keywords and rule.keywords <= found, (rule.label, pattern, text)
+
+
+def test_licenses_in_one_word_forms():
+    for name, label in (("ShareAlike", "cc-by-sa"), ("NoDerivs", "cc-by-nd"), ("NoDerivatives", "cc-by-nd"), ("NonCommercial", "cc-by-nc"), ("NonCommercial-ShareAlike", "cc-by-nc-sa"), ("NonCommercial-NoDerivs", "cc-by-nc-nd"), ("Share Alike", "cc-by-sa")):
+        for text in ("Creative Commons Attribution-{}", "licensed under the Creative Commons Attribution-{} License", "Creative Commons Attribution-{} 4.0"):
+            assert licenses.scan_text(text.format(name).encode())[5] == label, text.format(name)
+    assert licenses.scan_text(b"GNU General Public Licensev2")[5] == "" and licenses.scan_text(b"Apache License2.0")[5] == "apache"
+
+
 def test_every_query_is_registered():
     assert [int(k[2:].split("_")[0]) for k in queries.QUERIES] == list(range(1, 11))
 
