@@ -264,12 +264,12 @@ def backward_edges(f: Facts) -> DataFrame:
 
 @_query()
 def graph_forward(f: Facts) -> DataFrame:
-    return graph.find_paths(f, FUNCTION, CLASS, depth=1).select("depth", _strings("stacktrace").alias("stacktrace"))
+    return graph.find_paths(f, FUNCTION, CLASS).select("depth", _strings("stacktrace").alias("stacktrace"))
 
 
 @_query()
 def graph_backward(f: Facts) -> DataFrame:
-    return graph.find_paths(f, FUNCTION, CLASS, depth=1, forward=False).select("depth", _strings("stacktrace").alias("stacktrace"))
+    return graph.find_paths(f, FUNCTION, CLASS, forward=False).select("depth", _strings("stacktrace").alias("stacktrace"))
 
 
 def _bound(work: Callable[[Facts], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
