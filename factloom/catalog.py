@@ -230,6 +230,13 @@ def _starts(f: Facts) -> DataFrame:
     return f.functions.filter(F.col("name") == FUNCTION)
 
 
+def _resolved(f: Facts, calls: str) -> DataFrame:
+    """The edges of all calls of a kind to functions that are known."""
+    inside = resolve.enclosing(resolve.distinct_calls(f).filter(calls), f)
+    met = resolve.resolve_forward(resolve.with_receiver(inside.filter(F.col("fn_class").eqNullSafe(F.col("caller_class_name"))), f), f)
+    return met.filter("g_id >= 0").select(F.col("fn_id").alias("src"), F.col("g_id").alias("dst"), F.col("start_line").alias("site_line")).distinct()
+
+
 @_query(f"""WITH {_DISTINCT_CALLS}, {_INNERMOST}
 SELECT i.fn_id AS src, g.id AS dst, i.start_line AS site_line FROM inner_calls i JOIN cf_functions g ON g.name = i.callee AND g.class_name = i.fn_class
 WHERE i.object_kind = 1 AND i.caller LIKE 'blue%' AND i.fn_class IS NOT DISTINCT FROM i.caller_class_name GROUP BY i.fn_id, g.id, i.start_line""")
@@ -257,6 +264,29 @@ def forward_edges(f: Facts) -> DataFrame:
     return edges.forward_edges(f, _starts(f))
 
 
+@_query(f"""WITH {_DISTINCT_CALLS}, {_INNERMOST}
+SELECT i.fn_id AS src, g.id AS dst, i.start_line AS site_line FROM inner_calls i JOIN cf_functions g ON g.name = i.callee AND g.class_name = i.fn_class
+WHERE i.object_kind = 1 AND i.fn_class IS NOT DISTINCT FROM i.caller_class_name GROUP BY i.fn_id, g.id, i.start_line""")
+def forward_self_calls_all(f: Facts) -> DataFrame:
+    return _resolved(f, "object_name = 'self'")
+
+
+@_query(f"""WITH {_DISTINCT_CALLS}, {_INNERMOST},
+c AS (SELECT DISTINCT fn_id, file_id, fn_class, callee, start_line FROM inner_calls WHERE object_kind = 0 AND fn_class IS NOT DISTINCT FROM caller_class_name),
+m AS (SELECT c.*, g.id AS g_id, coalesce(g.class_name = c.fn_class, false) AS own, g.class_name IS NULL AS is_global, g.class_name IS NULL AND g.file_id = c.file_id AS here FROM c JOIN cf_functions g ON g.name = c.callee),
+w AS (SELECT *, max(CASE WHEN here THEN 1 ELSE 0 END) OVER (PARTITION BY fn_id, callee, start_line) AS any_here FROM m),
+p AS (SELECT *, own OR CASE WHEN any_here = 1 THEN here ELSE is_global END AS pick FROM w),
+q AS (SELECT *, max(CASE WHEN pick THEN 1 ELSE 0 END) OVER (PARTITION BY fn_id, callee, start_line) AS picked FROM p)
+SELECT DISTINCT fn_id AS src, g_id AS dst, start_line AS site_line FROM q WHERE pick OR picked = 0""")
+def forward_plain_calls_all(f: Facts) -> DataFrame:
+    return _resolved(f, "object_name IS NULL")
+
+
+@_query()
+def forward_edges_all(f: Facts) -> DataFrame:
+    return edges.forward_edges(f, f.functions)
+
+
 @_query()
 def backward_edges(f: Facts) -> DataFrame:
     return edges.backward_edges(f, _starts(f))
