@@ -6,8 +6,10 @@ item, W = min(item length, ``WINDOW``) and e 8 % of W (less where the lemma woul
 count). Such a passage shares at least ``t = W + 1 - q (e + 1)`` q-grams with the window, all on
 diagonals that differ by e at most. So the shared q-grams are counted in overlapping bands of
 ``2 * BAND`` diagonals; a run of t of them in one band and item within the length of a window makes a
-candidate, and candidates are verified by an alignment that is banded to e diagonals on each side.
-The candidates of a chunk of text are aligned together.
+candidate, and every window that a candidate allows is verified, by comparison and else by an
+alignment that is banded to e diagonals on each side. The candidates of a chunk of text are aligned
+together. A leak reaches over all windows within the budget of its text and item, and its edits are the
+least of theirs; where a window has edits, its start is right to as many bytes.
 
 The items are a broadcast; one pass takes at most ``BLOCK_BYTES`` of them and more items mean more
 passes, so what is broadcast is bounded.
@@ -89,14 +91,22 @@ def build(items: list[tuple[int, str | None]]) -> Index:
     return Index(np.frombuffer(joined, dtype=np.uint8), np.array([i for i, _ in kept], dtype=np.int64), np.array(starts, dtype=np.int64), np.array([len(n) for _, n in kept], dtype=np.int64), plan, unique, first, count, order, seen)
 
 
-def align(text: np.ndarray, base: np.ndarray, item: np.ndarray, at: np.ndarray, w: int, e: int) -> np.ndarray:
-    """Edits of item[at:at+w] against the text along the diagonals base-e..base+e, ends free; e + 1 means too many.
+def align(text: np.ndarray, base: np.ndarray, item: np.ndarray, at: np.ndarray, w: int, e: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edits of item[at:at+w] against the text along the diagonals base-e..base+e, ends free, and how far from base the end is.
 
-    Windows whose whole band is over the budget are left aside every few rows.
+    e + 1 edits mean too many. Equal windows are not aligned, and those whose whole band is over the
+    budget are left aside every few rows.
     """
-    out = np.full(len(base), e + 1, dtype=np.int16)
+    out, off = np.full(len(base), e + 1, dtype=np.int16), np.zeros(len(base), dtype=np.int64)
     wide, top = 2 * e + 1, len(text) - 1
-    alive = np.arange(len(base))
+    if len(text) >= w:
+        rows = np.lib.stride_tricks.sliding_window_view
+        inside = np.minimum(np.maximum(base, 0), len(text) - w)
+        out[(inside == base) & (rows(text, w)[inside] == rows(item, w)[at]).all(axis=1)] = 0
+    alive = np.flatnonzero(out)
+    if not len(alive):
+        return out, off
+    base, at = base[alive], at[alive]
     cost = np.zeros((wide, len(base)), dtype=np.int16)
     shift = np.arange(wide)[:, None] - e + base[None, :]
     for i in range(w):
@@ -112,9 +122,9 @@ def align(text: np.ndarray, base: np.ndarray, item: np.ndarray, at: np.ndarray,
             if not keep.all():
                 alive, at, cost, shift = alive[keep], at[keep], cost[:, keep], shift[:, keep]
                 if not len(alive):
-                    return out
-    out[alive] = np.minimum(cost.min(axis=0), e + 1)
-    return out
+                    return out, off
+    out[alive], off[alive] = np.minimum(cost.min(axis=0), e + 1), cost.argmin(axis=0) - e
+    return out, off
 
 
 def _hits(index: Index, buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -156,43 +166,38 @@ def _candidates(index: Index, buffer: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _verified(index: Index, text: np.ndarray, item: np.ndarray, p: np.ndarray, p2: np.ndarray, j: np.ndarray, j2: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Item, places in the text and least edits of the runs that have a window within the budget, of all that the run allows."""
-    w, e, _ = index.plan[item].T
-    edits = np.full(len(item), 1 << 14)
+    """Item, start and end in the text, and edits of all windows within the budget that the runs allow, and of the runs that allow one."""
+    w, _, _ = index.plan[item].T
     top = index.sizes[item] - w
     ends = np.clip(j2 + Q - w, 0, top), np.clip(j, 0, top)
-    early, late = np.minimum(*ends), np.maximum(*ends)
     d = p - j
-    region = np.unique(item * (1 << 40) + (d + (1 << 32)) // BAND, return_inverse=True)[1]
-
-    def tried(rows: np.ndarray, starts: np.ndarray) -> None:
-        """Windows of the runs ``rows`` that begin at ``starts`` of their items, each distinct one once."""
-        key = (index.starts[item[rows]] + starts) * (1 << 32) + d[rows] + (1 << 31)
-        _, one, back = np.unique(key, return_index=True, return_inverse=True)
-        some, at = rows[one], starts[one]
-        cost = np.zeros(len(one), dtype=np.int64)
-        kind = w[some] * 1000 + e[some]
-        for value in np.unique(kind):
-            of = np.flatnonzero(kind == value)
-            for lo in range(0, len(of), 4096):
-                c = of[lo : lo + 4096]
-                cost[c] = align(text, d[some[c]] + at[c], index.joined, index.starts[item[some[c]]] + at[c], int(value // 1000), int(value % 1000))
-        np.minimum.at(edits, rows, cost[back])
-
-    # Most leaks show at once in the densest run of their region; only what is left tries every window.
-    dense = np.lexsort((p2 - p, region))
-    first = dense[np.r_[True, region[dense][1:] != region[dense][:-1]]]
-    still = lambda: ~np.isin(region, region[edits <= e])
-    for start in (early, late):
-        tried(first, start[first])
-        first = first[still()[first]]
-    every = np.flatnonzero(still())
-    if len(every):
-        n = late[every] - early[every] + 1
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        tried(np.repeat(every, n), np.repeat(early[every], n) + inner)
-    good = edits <= e
-    return item[good], p[good], p2[good], edits[good]
+    _, one, line = np.unique(item * (1 << 40) + d + (1 << 32), return_index=True, return_inverse=True)
+
+    # The windows of one item and diagonal are numbers in a row, those of the next one begin beyond; runs are intervals.
+    span = int(index.sizes.max()) + 1
+    early, late = line * span + np.minimum(*ends), line * span + np.maximum(*ends)
+    order = np.argsort(early, kind="stable")
+    reach = np.maximum.accumulate(late[order])
+    opens = np.r_[True, early[order][1:] > reach[:-1]]
+    first = early[order][opens]
+    n = reach[np.r_[opens[1:], True]] - first + 1
+    window = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+    of, at = one[window // span], window % span
+    kind, begin, diagonal = item[of], index.starts[item[of]] + at, d[of] + at
+    w, e, _ = index.plan[kind].T
+    edits, off = e + 1, np.zeros(len(window), dtype=np.int64)
+    plans = w * 1000 + e
+    for value in np.unique(plans):
+        rows = np.flatnonzero(plans == value)
+        for lo in range(0, len(rows), 4096):
+            c = rows[lo : lo + 4096]
+            edits[c], off[c] = align(text, diagonal[c], index.joined, begin[c], int(value // 1000), int(value % 1000))
+    good = np.flatnonzero(edits <= e)
+    start = diagonal[good] + off[good]
+    a, b = np.searchsorted(window[good], early), np.searchsorted(window[good], late, side="right")
+    held = np.flatnonzero(b > a)
+    far = np.full(len(held), 1 << 14)
+    return np.r_[kind[good], item[held]], np.r_[start, p[held]], np.r_[start + w[good], p2[held] + Q], np.r_[edits[good], far]
 
 
 def find(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
@@ -208,12 +213,18 @@ def find(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, int
         runs = _candidates(index, buffer)
         if not len(runs[0]):
             return
-        item, p, p2, edits = _verified(index, np.frombuffer(buffer, dtype=np.uint8), *runs)
-        doc = np.searchsorted(np.array([s for _, s, _ in chunk]), p, side="right") - 1
+        starts, sizes = np.array([s for _, s, _ in chunk]), np.array([len(b) for _, _, b in chunk])
+        inside = np.searchsorted(starts, runs[1], side="right") == np.searchsorted(starts, runs[2], side="right")  # a window's own hits are of one text
+        runs = tuple(x[inside] for x in runs)
+        if not len(runs[0]):
+            return
+        item, begin, end, edits = _verified(index, np.frombuffer(buffer, dtype=np.uint8), *runs)
+        doc = np.searchsorted(starts, (begin + end) // 2, side="right") - 1  # a window within the budget does not reach over a gap
+        begin, end = np.maximum(begin, starts[doc]), np.minimum(end, starts[doc] + sizes[doc])
         pair, back = np.unique(doc * len(index.ids) + item, return_inverse=True)
         lo, hi, best = np.full(len(pair), 1 << 60), np.zeros(len(pair), dtype=np.int64), np.full(len(pair), 1 << 14)
-        np.minimum.at(lo, back, p)
-        np.maximum.at(hi, back, p2 + Q)
+        np.minimum.at(lo, back, begin)
+        np.maximum.at(hi, back, end)
         np.minimum.at(best, back, edits)
         for k, x in enumerate(pair):
             number, start, body = chunk[x // len(index.ids)]

@@ -131,6 +131,24 @@ def test_decontamination_finds_edited_passages(spark, docs, odd):
     assert kept.count() == len(ODD) - 2 and kept.columns == odd.columns
 
 
+def test_decontamination_spans_whole_passages():
+    rng = random.Random(9)
+    item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(390))
+    index = decontaminate.build([(1, item), (2, item[::-1][:130])])
+    find = lambda *texts: decontaminate.find(index, list(texts))
+    assert find(f"before {item} after") == [[(1, 7, 397, 0)]]
+    assert find(f"before {item[:200]}#{item[201:]} after") == [[(1, 7, 397, 0)]]
+    other = item[::-1][:130]
+    ((leak,),) = find(f"{'z' * 50} {other[:60]}#{other[61:]} after")
+    assert leak[0] == 2 and leak[3] == 1 and abs(leak[1] - 51) <= 1 and leak[2] == 181
+    # Two texts of one chunk that hold parts of the item on one diagonal of the joined buffer.
+    assert find(item[:150], item[182:]) == [[(1, 0, 150, 0)], [(1, 0, 208, 0)]]
+    # A cut passage: by the budget of a window, up to so many bytes around it belong to the span.
+    ((leak,),) = find(f"{'0' * 60}{item[100:300]}{'1' * 60}")
+    e = decontaminate.budget(390)[1]
+    assert leak[3] == 0 and 60 - e <= leak[1] <= 60 and 260 <= leak[2] <= 260 + e
+
+
 def test_fingerprints_follow_the_texts(docs, odd):
     got = fingerprints.fingerprint_report(docs).toPandas().set_index("doc_id")
     rows = docs.toPandas().sort_values("doc_id", ascending=False)
