@@ -10,11 +10,13 @@ Importance of a node that stands on m pages: with H the entropy of its presentat
 C = 1 - the mean of log_m(pages that share the content) over its occurrences,
 ``importance = (1 - GAMMA) * H + GAMMA * C``; on fewer than ``LEAST_PAGES`` pages there is nothing to
 compare and it is 1. A branch (a node that begins a block) is removed if its importance is below
-``LEAST_SHARE`` of that of the page's content root, so pages of a host that are copies of each other
-lose nothing. Elements whose own style names them as navigation, header, footer, notice, advert,
-form, comment and the like have importance 0 whatever their texts; scripts and styles are no text.
-The content root is the ``article`` or ``main`` elements where a page has any outside removed
-branches (of nested ones the outer), else the body.
+``LEAST_SHARE`` of that of the whole page, so pages of a host that are copies of each other lose
+nothing. Whole pages are merged, but for scripts, styles and hidden elements, which are no text.
+
+Names are a prior: elements whose own style names them as navigation, header, footer, notice, advert,
+form, comment and the like are removed even where their texts differ from page to page, and do not
+count for the content of the branches around them. That never takes the body, nor a branch that holds
+more than half of the page's text outside removed branches.
 
 The counts are aggregated by (host, path, content) before they are by (host, path), so a hot host
 spreads over its contents. What returns to the pages is one row for each host and removed path.
@@ -43,7 +45,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, cut
 
-GAMMA, LEAST_PAGES, LEAST_SHARE = 0.9, 8, 0.25
+GAMMA, LEAST_PAGES, LEAST_SHARE = 0.9, 2, 0.25
 #: Removed paths up to this many are broadcast (16 bytes each); more are joined by host with salt.
 BROADCAST_PATHS = 1 << 20
 
@@ -51,7 +53,8 @@ BROADCAST_PATHS = 1 << 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp".split())
-SILENT = frozenset("script style noscript template head title svg math canvas object iframe audio video textarea xmp noembed noframes select option button input form nav footer aside dialog menu".split())
+SILENT = frozenset("script style noscript template head title svg math canvas object iframe audio video textarea xmp noembed noframes select option button input".split())
+ASIDE = frozenset("form nav footer aside dialog menu".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 #: Words of class, id or role that name a branch as something else than the article.
 NOISE = frozenset(
@@ -73,6 +76,7 @@ class Node:
     style: str
     noise: bool
     parent: Node | None
+    silent: bool = False  # no text at all; what is noise by its name alone can be spared
     children: list[Node | str] = field(default_factory=list)
     path: int = 0
 
@@ -87,14 +91,15 @@ def _element(tag: str, rest: str, parent: Node) -> Node:
         for m in _ATTRIBUTE.finditer(rest):
             given.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
     named = " ".join(given.get(k, "") for k in ("class", "id", "role")).lower()
-    noise = tag in SILENT or bool(named and NOISE.intersection(_WORDS.findall(named)))
-    noise |= "hidden" in given or given.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", given.get("style", ""), re.I))
+    silent = tag in SILENT
+    noise = tag in ASIDE or bool(named and NOISE.intersection(_WORDS.findall(named)))
+    silent |= "hidden" in given or given.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", given.get("style", ""), re.I))
     if tag == "header":
         up = parent
         while up.parent is not None and up.tag not in _HEADER_PARENTS:
             up = up.parent
         noise |= up.tag not in _HEADER_PARENTS
-    node = Node(tag, f"{tag}.{named}" if named.strip() else tag, noise, parent)
+    node = Node(tag, f"{tag}.{named}" if named.strip() else tag, silent or noise and tag not in ("html", "body"), parent, silent)
     node.path = _hash(f"{parent.path}/{node.style}")
     parent.children.append(node)
     return node
@@ -194,47 +199,47 @@ def _walk(root: Node) -> Iterator[Node]:
     while stack:
         node = stack.pop()
         yield node
-        stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.noise)
+        stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.silent)
 
 
-def content_roots(root: Node, removed: frozenset[int] = frozenset()) -> list[Node]:
-    """The outer ``article`` and ``main`` elements outside removed branches, else the whole page."""
-    found, stack = [], [root]
+def spare(root: Node, removed: frozenset[int] = frozenset()) -> None:
+    """Let the branches stand that hold more than half of the text outside removed branches, whatever their names."""
+    order: list[Node] = []
+    stack = [root]
     while stack:
         node = stack.pop()
-        if node.tag in ("article", "main"):
-            found.append(node)
-            continue
-        stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.noise and c.path not in removed)
-    # A main element around articles stands for them; comments and adverts in it are removed by their own styles.
-    return found or [root]
+        order.append(node)
+        stack.extend(c for c in node.children if isinstance(c, Node) and not c.silent and c.path not in removed)
+    sizes: dict[int, int] = {}
+    for node in reversed(order):
+        sizes[id(node)] = sum(len("".join(c.split())) if isinstance(c, str) else sizes.get(id(c), 0) for c in node.children)
+    for node in order:
+        if 2 * sizes[id(node)] > sizes[id(root)]:
+            node.noise = False
 
 
 def style_rows(html: str | None) -> list[tuple[int, int, int, int]]:
-    """(path, is content root, presentation, content) of the branches of a page that are not noise by their own style."""
+    """(path, is the whole page, presentation, content) of the branches of a page."""
     root = read(html)
-    roots = content_roots(root)
+    spare(root)
     out = []
-    tops = {id(r) for r in roots}
-    for top in roots:
-        for node in _walk(top):
-            if node.tag in INLINE or (node is not top and node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "html", "body", "") and node.style == node.tag):
-                continue
-            styles: list[str] = []
-            for c in node.children:
-                if isinstance(c, Node) and not (styles and styles[-1] == c.style):
-                    styles.append(c.style)
-            text = "\n".join(blocks(node, lambda n: n.noise))
-            out.append((node.path, int(id(node) in tops), _hash(" ".join(styles)), _hash(text)))
+    for node in _walk(root):
+        if node is not root and (node.tag in INLINE or node.tag in ("html", "body") or node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and node.style == node.tag):
+            continue
+        styles: list[str] = []
+        for c in node.children:
+            if isinstance(c, Node) and not (styles and styles[-1] == c.style):
+                styles.append(c.style)
+        text = "\n".join(blocks(node, lambda n: n.noise))
+        out.append((node.path, int(node is root), _hash(" ".join(styles)), _hash(text)))
     return out
 
 
 def extract(html: str | None, removed: frozenset[int] = frozenset()) -> str:
     """The main text of a page without the branches at the paths ``removed``."""
     root = read(html)
-    roots = content_roots(root, removed)
-    skip = lambda n: n.noise or n.path in removed
-    return "\n\n".join(b for top in roots for b in blocks(top, skip))
+    spare(root, removed)
+    return "\n\n".join(blocks(root, lambda n: n.noise or n.path in removed))
 
 
 def host(url: Column) -> Column:

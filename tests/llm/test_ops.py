@@ -242,6 +242,15 @@ def test_site_tree(spark):
     assert got[3] == "Story 3 is about 21." and got[100] == "" and got[101] == "Read our rules"
 
 
+def test_site_tree_measures_whole_pages(spark):
+    story = "Story {0} is about {1} and tells at some length what came of it."
+    page = '<body class="page has-sidebar"><div class="top">All rights of this site</div><div class="{2}"><p>' + story + '</p></div><article class="teaser"><p>Tease {3}</p></article><div class="comments"><p>Me {0}</p></div></body>'
+    rows = [(k, f"http://{h}.org/{k}", page.format(k, k * 7, style, "more")) for h, n, style in (("a", 2, "story with-comments"), ("b", 9, "search-result")) for k in range(n * 100, n * 101)]
+    got = {r["page_id"]: r["text"] for r in sitetree.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: story.format(k, k * 7) for k, *_ in rows}
+    assert sitetree.extract(page.format(1, 7, "story", "more")) == f"All rights of this site\n\n{story.format(1, 7)}\n\nTease more"
+
+
 def test_licenses(odd):
     text = b"Licensed under the Apache License, Version 2.0. CC-BY-SA 4.0 and CC BY; apache license"
     n, base, first, last, base_labels, labels, score, spans = licenses.scan_text(text)
