@@ -184,14 +184,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, tile: int) -> DataFrame:
-    """(_id, _h: hash of the text, _fp, component_id) for every row."""
+    """(_id, _h: hash of the text, _fp, component_id, _root: smallest fingerprint of the group) for every row."""
     base = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_h"))
     marked = cut(with_fingerprint(base, "_text").select("_id", "_h", "_fp"))
     ids = cut(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("_id").alias("first")))
     found = components(links(ids, tile))
     rooted = cut(ids.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = cut(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"))
+    named = cut(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id", F.col("root").alias("_root")))
     return marked.join(named, "_fp")
 
 
@@ -203,11 +203,11 @@ def group_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
     """One row of each group of near copies: the one whose id names the group (the smallest text hash, once, if rows share that id).
 
-    A group without any id keeps one row as well.
+    A group without any id keeps one row as well, and so does each of the groups that one repeated id names.
     """
     groups = _grouped(docs, doc_id, text, tile)
     own = groups.filter(F.col("_id").eqNullSafe(F.col("component_id")))
-    chosen = cut(own.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("_fp")).alias("_g")).agg(F.min("_h").alias("_h")))
+    chosen = cut(own.groupBy("_root", "component_id").agg(F.min("_h").alias("_h")))
     keyed = docs.withColumn("_fl_h", F.xxhash64(text))
     kept = keyed.join(chosen.select(F.col("component_id").alias("_fl_keep"), F.col("_h").alias("_fl_kh")).distinct(), F.col(doc_id).eqNullSafe(F.col("_fl_keep")) & (F.col("_fl_h") == F.col("_fl_kh")), "left_semi")
     return kept.dropDuplicates([doc_id, "_fl_h"]).select(*[F.col(f"`{c}`") for c in docs.columns])

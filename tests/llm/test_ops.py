@@ -72,6 +72,17 @@ def test_simhash_odd_rows(odd):
     assert 2 not in ids and ids.count(6) == 1 and 1 in ids
 
 
+def test_simhash_keeps_one_of_each_group(spark):
+    rng = random.Random(3)
+    long = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300))
+    a, b, c = long(), long(), long()
+    near = next(f"{c[:k]}#{c[k + 1:]}" for k in range(5, 2000) if c[k] != " " and 0 < (simhash.fingerprint(c.encode()) ^ simhash.fingerprint(f"{c[:k]}#{c[k + 1:]}".encode())).bit_count() <= 3)
+    rows = [(1, a), (1, b), (2, a), (3, b), (None, c), (None, near)]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(x for x in kept if x[0] is not None) == sorted([(1, a), (1, b)])
+    assert len(kept) == 3 and kept.count((None, c)) + kept.count((None, near)) == 1
+
+
 def test_feistel_is_a_permutation(spark, odd):
     for n in (1, 2, 3, 17, 1000):
         places = [feistel.place_of(i, n) for i in range(n)]
