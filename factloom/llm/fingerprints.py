@@ -46,7 +46,7 @@ def sketch(text: Column, k: int = K) -> Column:
         last = F.size(h) - F.lit(SHINGLE)
         many = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(SHINGLE)]))
         few = F.array(F.xxhash64(F.array_join(h, " ")))
-        return F.when(last > 0, many).when(F.size(h) > 0, few).otherwise(F.expr("CAST(array() AS array<bigint>)"))
+        return F.when(last >= 0, many).when(F.size(h) > 0, few).otherwise(F.expr("CAST(array() AS array<bigint>)"))
 
     hashes = bind(F.transform(words, lambda w: F.xxhash64(w)), smallest)
     return F.slice(F.array_distinct(F.sort_array(hashes)), 1, k)

@@ -182,6 +182,13 @@ def test_sketches_merge(spark):
     assert r["same"] and abs(r["n"] - 896) < 250 and r["c"] > 0.7
 
 
+def test_sketch_of_five_words_is_their_shingle(spark):
+    frame = spark.createDataFrame([("a b c d e", "x a b c d e y", "a b c d")], "five string, more string, four string")
+    s = lambda c: fingerprints.sketch(F.col(c))
+    r = frame.select(fingerprints.resemblance(s("five"), s("more")).alias("r"), fingerprints.containment(s("five"), s("more")).alias("c"), F.size(s("four")).alias("n")).first()
+    assert r["r"] == pytest.approx(1 / 3) and r["c"] == pytest.approx(1) and r["n"] == 1
+
+
 def test_token_ids_round_trip(spark, odd, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
