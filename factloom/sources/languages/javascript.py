@@ -531,7 +531,8 @@ class _Bindings:
 
     def receiver(self, f: _File, at: int, target: str, owner: str | None, classes: set[str]) -> str | None:
         """The class of a receiver; None where it is not known."""
-        for _ in range(8):
+        seen: set[str] = set()
+        while True:
             if target in classes:
                 return target
             head, *rest = target.split(".")
@@ -543,10 +544,10 @@ class _Bindings:
                 return kind if rest and kind in classes else None
             had = self.objects.get(head, [])
             n = bisect_left(had, at, key=lambda e: e[0])
-            if not n:
+            if not n or head in seen:  # x = x.next makes ever longer targets, so the heads tell of a circle
                 return None
+            seen.add(head)
             target = ".".join((had[n - 1][1], *rest))
-        return None
 
 
 def _operand(f: _File, dot: int) -> int:

@@ -128,3 +128,13 @@ def test_broken_and_empty():
         for cut in range(0, len(code), 11):
             engine(code[:cut])
             engine(code[cut:])
+
+
+def test_receiver_through_a_long_chain_of_aliases():
+    from factloom.sources.languages import javascript as module
+
+    names = module._Bindings.__new__(module._Bindings)
+    names.objects = {f"a{k}": [(k, f"a{k - 1}")] for k in range(1, 30)} | {"a0": [(0, "Store")], "node": [(1, "node.next")], "x": [(1, "y")], "y": [(1, "x")]}
+    kind = lambda target: names.receiver(None, 99, target, None, {"Store"})
+    assert kind("a29") == "Store"
+    assert kind("node") is None and kind("x") is None
