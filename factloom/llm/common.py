@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,12 +25,14 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables that driver and executors share.
 
-    It is the one that the session names in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a temporary one is made.
+    It is the one that the session names in ``spark.checkpoint.dir``. Only where that is unset and the
+    executors run inside the driver (tests, a laptop) a temporary one is made; on a cluster it must be set.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if named is None and re.fullmatch(r"local(\[.*\])?", context.master) is None:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="factloom-"))
     return named or context.getCheckpointDir()
 
@@ -40,15 +43,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def number_rows(df: DataFrame, *order: str, name: str = "row_no") -> DataFrame:
+def number_rows(df: DataFrame, *order: str, name: str = "row_no", split_ties: bool = False) -> DataFrame:
     """``df`` with gapless numbers from 0 in the given order; ties are numbered in any order.
 
     A range exchange and a sort inside partitions give each row its place in its partition. What is
     collected is one count for each partition. ``df`` should be narrow: it is checkpointed once, so
-    that places and counts come from one and the same run.
+    that places and counts come from one and the same run. With ``split_ties`` equal rows spread over
+    partitions by where they are read; that is for rows that come straight from a table, whose
+    order is the same if a task runs again.
     """
     spark = df.sparkSession
-    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    tied = df.withColumn("_tie", F.monotonically_increasing_id()) if split_ties else df
+    keys = [*order, *(["_tie"] if split_ties else [])]
+    placed = cut(tied.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie").withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
     sizes = sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
     bases, total = [], 0
@@ -60,3 +67,17 @@ def number_rows(df: DataFrame, *order: str, name: str = "row_no") -> DataFrame:
     base = F.broadcast(spark.createDataFrame(bases, "_p long, _base long"))
     inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return placed.withColumn("_p", part).join(base, "_p").withColumn(name, F.col("_base") + inside).drop("_p", "_base", "_at")
+
+
+def one_row_each(rows: DataFrame, keys: list[str], columns: list[str], copies: str, per_task: int = 4096) -> DataFrame:
+    """One of the rows that share ``keys`` for all of them, repeated in parts of ``per_task`` numbers.
+
+    ``copies`` names the column with how many are wanted (the same in all rows of a key). The result has
+    ``columns`` and ``_nth``, from 0; a key's copies are dealt out over tasks, and its rows are combined
+    before they are exchanged.
+    """
+    kept = [F.col(f"`{c}`") for c in columns]
+    one = rows.groupBy(*keys).agg(F.first(copies).cast("long").alias("_copies"), F.first(F.struct(*kept)).alias("_row"))
+    parts = one.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {per_task}")))).repartition(*keys, "_part")
+    numbers = F.sequence(F.col("_part") * per_task, F.least(F.col("_copies"), (F.col("_part") + 1) * per_task) - 1)
+    return parts.select("_row.*", F.explode(numbers).alias("_nth"))
