@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import number_rows
+from .common import cut, number_rows, one_row_each
 
 ROUNDS, KEY = 6, 0x5DEECE66D
 #: A walk leaves the count with a chance below 1/2 at each step; one longer than this raises an error.
@@ -99,7 +99,7 @@ def _measured(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def assign_shards(docs: DataFrame, shards: int = 16, key: int = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row."""
-    numbered = number_rows(_measured(docs, doc_id, text), "doc_id", "text_crc32", "size")
+    numbered = number_rows(_measured(docs, doc_id, text), "doc_id", "text_crc32", "size", split_ties=True)
     rows = numbered.count()
     at = numbered.withColumn("_place", place("row_no", rows, key)) if rows else numbered.withColumn("_place", F.col("row_no"))
     return at.select(
@@ -113,18 +113,21 @@ def assign_shards(docs: DataFrame, shards: int = 16, key: int = KEY, doc_id: str
 def shard_rows(docs: DataFrame, shards: int = 16, key: int = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``shard`` and ``slot`` (columns of these names are replaced).
 
-    Rows find their places by a hash of id, CRC-32 and size and by their number among rows with the
-    same hash. Rows that share a hash are equal rows (or, by chance, strangers, who then only swap places).
+    Numbers are given to narrow rows (id, CRC-32, size and a hash of all columns but maps) and go back to
+    the texts in one join. Equal rows have numbers in a row; one of them stands for all.
     """
-    from pyspark.sql import Window
-
-    nth = lambda k: F.row_number().over(Window.partitionBy(k).orderBy(k))
-    measured = _measured(docs, doc_id, text)
-    of = lambda: F.xxhash64("doc_id", "text_crc32", "size")
-    places = assign_shards(docs, shards, key, doc_id, text).withColumn("_fl_pk", of()).withColumn("_fl_pn", nth("_fl_pk")).select("_fl_pk", "_fl_pn", F.col("shard").alias("_fl_shard"), F.col("slot").alias("_fl_slot"))
+    same = [c for c, kind in docs.dtypes if "map<" not in kind]
     raw = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("_fl_k", F.xxhash64(F.col(doc_id), F.crc32(raw.cast("binary")), (F.octet_length(raw) + 1).cast("long")))
-    assert [t for _, t in measured.dtypes[1:]] == ["bigint", "bigint"]  # the hash depends on the types
-    keyed = keyed.withColumn("_fl_n", nth("_fl_k"))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
-    return keyed.join(places, (F.col("_fl_k") == F.col("_fl_pk")) & (F.col("_fl_n") == F.col("_fl_pn"))).select(*kept, F.col("_fl_shard").alias("shard"), F.col("_fl_slot").alias("slot"))
+    marks = {"_fl_id": F.col(doc_id), "_fl_crc": F.crc32(raw.cast("binary")), "_fl_size": (F.octet_length(raw) + 1).cast("long"), "_fl_all": F.xxhash64(*[F.col(f"`{c}`") for c in same])}
+    numbered = number_rows(docs.select(*[v.alias(k) for k, v in marks.items()]), *marks, name="_fl_row", split_ties=True)
+    rows = numbered.count()
+    groups = cut(numbered.groupBy(*marks).agg(F.min("_fl_row").alias("_fl_row"), F.count("*").alias("_fl_n")))
+    named = groups.withColumnsRenamed({k: f"{k}_" for k in marks})
+    found = docs.withColumns(marks).join(named, F.col("_fl_id").eqNullSafe(F.col("_fl_id_")) & (F.col("_fl_crc") == F.col("_fl_crc_")) & (F.col("_fl_size") == F.col("_fl_size_")) & (F.col("_fl_all") == F.col("_fl_all_")))
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    out = found.filter("_fl_n = 1").select(*[F.col(f"`{c}`") for c in kept], "_fl_row")
+    if not groups.filter("_fl_n > 1").isEmpty():
+        again = one_row_each(found.filter("_fl_n > 1"), list(marks), [*kept, "_fl_row"], "_fl_n")
+        out = out.unionByName(again.withColumn("_fl_row", F.col("_fl_row") + F.col("_nth")).drop("_nth"))
+    at = out.withColumn("_fl_place", place("_fl_row", rows, key) if rows else F.col("_fl_row"))
+    return at.select(*[F.col(f"`{c}`") for c in kept], (F.col("_fl_place") % shards).cast("int").alias("shard"), F.expr(f"_fl_place div {shards}").alias("slot"))

@@ -69,6 +69,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_site_style_tree, op2_quality_gam, op3_qgram_decontamination, op4_chat_format, op5_token_ids, op6_pivotal_mix, op7_feistel_shards, op8_bottom_k, op9_simhash, op10_license_rules)
 }
 
+#: CRC-32 of the whole text byte by byte, with its table.
+_MEASURED = """
+crcs AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([CAST(i AS BIGINT)] || range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i)) q),
+raw AS MATERIALIZED (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST((strpos('0123456789ABCDEF', h[1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2]) - 1 AS BIGINT)) AS bytes FROM documents),
+measured AS MATERIALIZED (SELECT doc_id, CAST(len(bytes) + 1 AS BIGINT) AS size, xor(list_reduce([CAST(4294967295 AS BIGINT)] || bytes, lambda crc, x: xor(crc >> 8, t[1 + (xor(crc, x) & 255)])), 4294967295) AS text_crc32 FROM raw, crcs)"""
+
+
+def _network(value: str) -> str:
+    """The Feistel network in SQL: both halves in one number, one step for each key; columns lw and rw are the halves' widths."""
+    one = lambda x, name, use: f"list_transform([{x}], lambda {name}: {use})[1]"
+    half = lambda h: f"(xor({h}, {h} >> 16) * {feistel._MUL}) & {feistel._MASK}"  # noqa: E731, SLF001
+    mixed = one("xor(v & 4294967295, k >> 1) & 2147483647", "a", one(half("a"), "b", one(half("b"), "c", "xor(c, c >> 15)")))
+    step = f"((v & 4294967295) << 32) | (xor(v >> 32, {mixed}) & ((CAST(1 AS BIGINT) << CASE WHEN k & 1 = 0 THEN lw ELSE rw END) - 1))"
+    keys = ", ".join(f"CAST({(k & feistel._MASK) * 2 + i % 2} AS BIGINT)" for i, k in enumerate(feistel._round_keys(feistel.KEY)))  # noqa: SLF001
+    both = f"(({value} >> rw) << 32) | ({value} & ((CAST(1 AS BIGINT) << rw) - 1))"
+    return one(f"list_reduce([CAST({both} AS BIGINT), {keys}], lambda v, k: {step})", "z", "((z >> 32) << rw) | (z & 4294967295)")
+
+
 ORACLE_SQL = {
     "op4_chat_format": rf"""
 WITH turns AS (
@@ -81,5 +99,13 @@ folded AS (
     sum({len(chat.TURN + chat.SAYS + chat.END) + 1} + length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS chars
   FROM turns GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM folded
+""",
+    "op7_feistel_shards": f"""
+WITH RECURSIVE {_MEASURED.strip()},
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row_no, count(*) OVER () AS n FROM measured),
+wide AS MATERIALIZED (SELECT *, greatest(2, length(bin(greatest(n, 2) - 1))) // 2 AS lw, greatest(2, length(bin(greatest(n, 2) - 1))) - greatest(2, length(bin(greatest(n, 2) - 1))) // 2 AS rw FROM numbered),
+walk AS (SELECT row_no, n, lw, rw, {_network("row_no")} AS place FROM wide UNION ALL SELECT row_no, n, lw, rw, {_network("place")} FROM walk WHERE place >= n)
+SELECT w.doc_id, w.size, w.text_crc32, 'rows' AS law, CAST(p.place % {SHARDS} AS INTEGER) AS shard, CAST(p.place // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM wide w JOIN walk p ON p.row_no = w.row_no WHERE p.place < p.n
 """,
 }
