@@ -8,8 +8,10 @@ without words (null, empty, white space) has fingerprint 0 and is linked like an
 Links. Two fingerprints link if at most three bits differ. The 64 bits are cut into six blocks; three
 differing bits touch at most three of them, so a linked pair agrees on at least three whole blocks
 and meets under one of the 20 keys made of three blocks (31 to 33 bits each). Keys with a single
-fingerprint are dropped before any comparison. A key with more than ``TILE`` fingerprints is cut into
-tiles and each pair of tiles is its own work item, so no item grows with a hot key. Inside an item a
+fingerprint are dropped before any comparison. Under a key with more than ``DEEP`` fingerprints the
+pigeonhole is used again: the other 31 to 33 bits are cut into six blocks, of which a linked pair again
+agrees on three (15 bits or more). A key with more than ``TILE`` fingerprints left is cut into tiles
+and each pair of tiles is its own work item, so no item grows with a hot key. Inside an item a
 search from one fingerprint to the next removes what it has reached, so it emits a spanning forest
 (fewer rows than fingerprints) instead of all pairs; connectivity is the same.
 
@@ -37,7 +39,9 @@ from .common import bounded_batches, cut
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
 #: (lowest bit, width) of the six blocks.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-TILE = 4096
+#: The same for the rest of a key, which three blocks leave.
+REST = ((0, 6), (6, 6), (12, 5), (17, 5), (22, 5), (27, 6))
+TILE, DEEP = 4096, 1 << 16
 #: Shingles hashed between two counts of bits.
 CHUNK = 1 << 14
 
@@ -79,15 +83,23 @@ def hex16(value: Column) -> Column:
 
 
 def _keys(fp: Column) -> Column:
-    """The 20 keys of a fingerprint: three blocks, and in the top bits which three."""
+    """The 20 keys of a fingerprint: three blocks, in the top bits which three; and the bits of the other blocks."""
     block = [F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in BLOCKS]
-    out = []
-    for k, chosen in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - MAX_BITS)):
-        key = F.lit(k).cast("long")
+
+    def joined(chosen: tuple[int, ...], head: int) -> Column:
+        out = F.lit(head).cast("long")
         for b in chosen:
-            key = F.shiftleft(key, BLOCKS[b][1]).bitwiseOR(block[b])
-        out.append(key)
-    return F.array(*out)
+            out = F.shiftleft(out, BLOCKS[b][1]).bitwiseOR(block[b])
+        return out
+
+    every = range(len(BLOCKS))
+    return F.array(*[F.struct(joined(c, k).alias("item"), joined(tuple(b for b in every if b not in c), 0).alias("rest")) for k, c in enumerate(combinations(every, len(BLOCKS) - MAX_BITS))])
+
+
+def _subkeys(rest: Column) -> Column:
+    """The 20 keys of the bits that a key leaves: three of their blocks in place, and which three."""
+    masks = [sum(((1 << REST[b][1]) - 1) << REST[b][0] for b in c) for c in combinations(range(len(REST)), len(REST) - MAX_BITS)]
+    return F.array(*[rest.bitwiseAND(F.lit(m)).bitwiseOR(F.lit((k + 1) << 40)) for k, m in enumerate(masks)])
 
 
 def forest(fps: np.ndarray, a_side: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -117,13 +129,13 @@ def forest(fps: np.ndarray, a_side: np.ndarray | None = None) -> list[tuple[int,
 
 
 def _forests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by (key, i, j); an item may cross batches and holds at most two tiles."""
+    """Rows come sorted by (item, sub, i, j); an item may cross batches and holds at most two tiles."""
     held: pd.DataFrame | None = None
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        item = part["item"].to_numpy()
+        item, sub = part["item"].to_numpy(), part["sub"].to_numpy()
         fps, side, i, j = part["fp"].to_numpy().view(np.uint64), part["tile"].to_numpy(), part["i"].to_numpy(), part["j"].to_numpy()
-        edge = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
+        edge = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (sub[1:] != sub[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
         links: list[tuple[int, int]] = []
         size = np.diff(edge)
         pairs = edge[:-1][size == 2]
@@ -139,7 +151,7 @@ def _forests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
         if not len(frame):
             continue
-        last = frame[["item", "i", "j"]].to_numpy()
+        last = frame[["item", "sub", "i", "j"]].to_numpy()
         open_from = len(last) - int((last[::-1] == last[-1]).all(axis=1).cumprod().sum())
         held, whole = frame.iloc[open_from:], frame.iloc[:open_from]
         if len(whole):
@@ -148,15 +160,20 @@ def _forests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield solve(held)
 
 
-def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
+def links(fps: DataFrame, tile: int = TILE, deep: int = DEEP) -> DataFrame:
     """Spanning links (a, b) between the distinct values of column ``fp``."""
     bounded_batches(fps.sparkSession)
-    keyed = fps.select("fp", F.explode(_keys(F.col("fp"))).alias("item"))
-    shared = keyed.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
-    rows = keyed.join(shared, "item").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    keyed = fps.select("fp", F.explode(_keys(F.col("fp"))).alias("k")).select("fp", "k.item", "k.rest")
+    shared = cut(keyed.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1"))
+    rows = keyed.join(shared, "item").select("item", F.lit(0).cast("long").alias("sub"), "fp", "n", "rest")
+    if not shared.filter(F.col("n") > deep).isEmpty():
+        finer = rows.filter(F.col("n") > deep).select("item", F.explode(_subkeys(F.col("rest"))).alias("sub"), "fp", "rest")
+        counts = finer.groupBy("item", "sub").agg(F.count("*").alias("n")).filter("n > 1")
+        rows = rows.filter(F.col("n") <= deep).unionByName(finer.join(counts, ["item", "sub"]))
+    rows = rows.withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     pairs = F.expr("transform(sequence(0, tiles - 1), o -> struct(least(tile, o) AS i, greatest(tile, o) AS j))")
-    items = rows.select("item", "fp", "tile", F.explode(pairs).alias("p")).select("item", "fp", "tile", "p.i", "p.j")
-    dealt = items.repartition("item", "i", "j").sortWithinPartitions("item", "i", "j", "fp")
+    items = rows.select("item", "sub", "fp", "tile", F.explode(pairs).alias("p")).select("item", "sub", "fp", "tile", "p.i", "p.j")
+    dealt = items.repartition("item", "sub", "i", "j").sortWithinPartitions("item", "sub", "i", "j", "fp")
     return dealt.mapInPandas(_forests, "a long, b long").filter("a <> b").distinct()
 
 
@@ -207,7 +224,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tile:
     """
     groups = _grouped(docs, doc_id, text, tile)
     own = groups.filter(F.col("_id").eqNullSafe(F.col("component_id")))
-    chosen = cut(own.groupBy("_root", "component_id").agg(F.min("_h").alias("_h")))
-    keyed = docs.withColumn("_fl_h", F.xxhash64(text))
-    kept = keyed.join(chosen.select(F.col("component_id").alias("_fl_keep"), F.col("_h").alias("_fl_kh")).distinct(), F.col(doc_id).eqNullSafe(F.col("_fl_keep")) & (F.col("_fl_h") == F.col("_fl_kh")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_fl_h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Of each group the smallest hash among the rows with its id; how many rows share both is known before any text moves.
+    each = own.groupBy("_root", "_id", "_h").agg(F.count("*").alias("_n"))
+    chosen = each.groupBy("_root", "_id").agg(F.min(F.struct("_h", "_n")).alias("c")).select(F.col("_id").alias("_fl_id"), F.col("c._h").alias("_fl_kh"), F.col("c._n").alias("_fl_n"))
+    chosen = cut(chosen.distinct())
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    found = docs.withColumn("_fl_h", F.xxhash64(text)).join(chosen, F.col(doc_id).eqNullSafe(F.col("_fl_id")) & (F.col("_fl_h") == F.col("_fl_kh")))
+    out = found.filter("_fl_n = 1").select(*kept)
+    if chosen.filter("_fl_n > 1").isEmpty():
+        return out
+    one = found.filter("_fl_n > 1").groupBy("_fl_id", "_fl_h").agg(F.first(F.struct(*kept)).alias("_fl_row"))
+    return out.unionByName(one.select("_fl_row.*"))
