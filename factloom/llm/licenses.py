@@ -1,9 +1,9 @@
 """License scans: ordered signature rules with keyword prefilter, priority and interval containment.
 
 A text is lower-cased (A-Z) and cut into words, runs of ASCII letters and digits and of anything
-beyond ASCII. The rules are regular expressions over the words joined by single spaces. They are
-made from a table of license families (names, versions, phrases) and a few sentence patterns; see
-:func:`rules`. Each rule has keywords, and only rules whose keywords all occur among the text's words
+beyond ASCII. The rules are regular expressions over the words joined by single spaces: sentences of
+license texts and notices (``SIGNATURES``, ``NOTICES``) and, from a table of license families, their
+identifiers, names with versions and grants; see :func:`rules`. Each rule has keywords, and only rules whose keywords all occur among the text's words
 are tried: one set intersection with the text's words skips nearly all of them.
 
 Detections are intervals of words. They are taken by priority (references by identifier before
@@ -24,6 +24,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import accumulate
 
 import pandas as pd
@@ -132,6 +133,166 @@ NOTICES = (
     ("gpl", "gnu org licenses(?: old licenses)? gpl", ("gnu", "gpl")),
 )
 
+#: Sentences of license texts, as their words; ``|`` and ``?`` as in patterns. Label and phrases.
+SIGNATURES = (
+    ("mit", (
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability",
+    )),
+    ("isc", (
+        "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted",
+        "the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    )),
+    ("bsd", (
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer",
+        "this software is provided by the (?:copyright holders and contributors|regents and contributors|author|authors) as is and any express or implied warranties",
+        "or business interruption however caused and on any theory of liability",
+    )),
+    ("bsd-3-clause", ("may be used to endorse or promote products derived from this software without specific prior written permission",)),
+    ("bsd-4-clause", ("this product includes software developed by", "acknowledg(?:e)?ment this product includes software developed")),
+    ("apache", (
+        "terms and conditions for use reproduction and distribution",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+        "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license",
+        "such license applies only to those patent claims licensable by such contributor",
+        "if the work includes a notice text file as part of its distribution",
+        "this product includes software developed by the apache software foundation",
+    )),
+    ("gpl", (
+        "this program is free software you can redistribute it and or modify it",
+        "the gnu general public license is a free copyleft license for software and other kinds of works",
+        "the licenses for most software are designed to take away your freedom to share and change it",
+        "you should have received a copy of the gnu general public license along with this program",
+        "either version [123] of the license or (?:at your option )?any later version",
+        "when we speak of free software we are referring to freedom not price",
+        "you must cause any work that you distribute or publish that in whole or in part contains or is derived from the program",
+        "this license gives no permission to license the work in any other way",
+        "each time you convey a covered work the recipient automatically receives a license from the original licensors",
+        "mere aggregation of another work not based on the program",
+    )),
+    ("lgpl", (
+        "you should have received a copy of the gnu (?:lesser|library) general public license along with this library",
+        "this library is free software you can redistribute it and or modify it",
+        "a work that uses the library",
+        "the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license",
+        "combined work is a work produced by combining or linking an application with the library",
+    )),
+    ("agpl", (
+        "you should have received a copy of the gnu affero general public license along with this program",
+        "remote network interaction use with the gnu general public license",
+        "must prominently offer all users interacting with it remotely through a computer network",
+    )),
+    ("gfdl", (
+        "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license",
+        "with no invariant sections no front cover texts and no back cover texts",
+    )),
+    ("mpl", (
+        "if a copy of the mpl was not distributed with this file you can obtain one at",
+        "this source code form is incompatible with secondary licenses",
+        "the contents of this file are subject to the mozilla public license",
+        "each contributor hereby grants you a world wide royalty free non exclusive license",
+    )),
+    ("epl", (
+        "the accompanying program is provided under the terms of this eclipse public license",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license",
+        "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement",
+    )),
+    ("cddl", ("the contents of this file are subject to the terms of the common development and distribution license", "you can obtain a copy of the license at usr src opensolaris license")),
+    ("cpl", ("the accompanying program is provided under the terms of this common public license",)),
+    ("artistic", (
+        "the intent of this document is to state the conditions under which a package may be copied",
+        "this license establishes the terms under which a given free software package may be copied modified distributed",
+        "you may make and give away verbatim copies of the source form of the standard version",
+    )),
+    ("zlib", (
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+        "the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+        "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
+        "this notice may not be removed or altered from any source distribution",
+    )),
+    ("boost", (
+        "to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software",
+        "unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor",
+        "distributed under the boost software license version 1 0",
+    )),
+    ("unlicense", (
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary",
+        "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest",
+        "for more information please refer to (?:http|https) unlicense org",
+    )),
+    ("wtfpl", ("everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", "you just do what the fuck you want to")),
+    ("python", ("this license agreement is between the python software foundation psf and the individual or organization licensee", "psf hereby grants licensee a nonexclusive royalty free world wide license")),
+    ("eupl", ("licensed under the eupl", "this european union public licence applies to the work")),
+    ("osl", ("this open software license applies to any original work of authorship", "licensed under the open software license")),
+    ("afl", ("this academic free license applies to any original work of authorship", "licensed under the academic free license")),
+    ("ms-pl", ("this license governs use of the accompanying software if you use the software you accept this license",)),
+    ("ofl", (
+        "the goals of the open font license ofl are to stimulate worldwide development of collaborative font projects",
+        "this font software is licensed under the sil open font license",
+        "neither the font software nor any of its individual components in original or modified versions may be sold by itself",
+    )),
+    ("odbl", ("this database is made available under the open database license", "any rights in individual contents of the database are licensed under the database contents license")),
+    ("odc-by", ("this database is made available under the open data commons attribution license",)),
+    ("pddl", ("the open data commons public domain dedication license is a document intended to allow you to freely share modify and use this work",)),
+    ("cc0", (
+        "the laws of most jurisdictions throughout the world automatically confer exclusive copyright and related rights",
+        "to the extent possible under law .{1,80}? has waived all copyright and related or neighboring rights to",
+        "no copyright and related rights the person who associated a work with this deed has dedicated the work to the public domain",
+    )),
+    ("cc-by", (
+        "this work is licensed under a creative commons attribution [1-4] [05] (?:international|unported|generic) license",
+        "you must give appropriate credit provide a link to the license and indicate if changes were made",
+        "by exercising the licensed rights defined below you accept and agree to be bound by the terms and conditions of this creative commons attribution",
+    )),
+    ("cc-by-sa", (
+        "this work is licensed under a creative commons attribution share ?alike",
+        "if you remix transform or build upon the material you must distribute your contributions under the same license as the original",
+        "text is available under the creative commons attribution share ?alike license",
+    )),
+    ("cc-by-nc", ("this work is licensed under a creative commons attribution non ?commercial [1-4] [05]", "you may not use the material for commercial purposes")),
+    ("cc-by-nd", ("this work is licensed under a creative commons attribution no ?deriv(?:s|atives)", "if you remix transform or build upon the material you may not distribute the modified material")),
+    ("cc-by-nc-sa", ("this work is licensed under a creative commons attribution non ?commercial share ?alike",)),
+    ("cc-by-nc-nd", ("this work is licensed under a creative commons attribution non ?commercial no ?deriv(?:s|atives)",)),
+    ("postgresql", ("permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted",)),
+    ("php", ("this product includes php software freely available from", "products derived from this software may not be called php nor may php appear in their name")),
+    ("openssl", ("this product includes software developed by the openssl project", "products derived from this software may not be called openssl nor may openssl appear in their names")),
+    ("ncsa", ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal with the software without restriction", "neither the names of .{1,80}? nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission university of illinois")),
+    ("upl", ("subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software associated documentation and or data",)),
+    ("sspl", ("if you make the functionality of the program or a modified version available to third parties as a service", "the server side public license")),
+    ("busl", ("the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", "change date change license")),
+    ("elastic", ("you may not provide the software to third parties as a hosted or managed service", "the licensor grants you a non exclusive royalty free worldwide non sublicensable non transferable license")),
+    ("openrail", ("use based restrictions as referenced in paragraph 5", "you agree not to use the model or derivatives of the model")),
+    ("cecill", ("this software is governed by the cecill(?: [abc])? license", "this agreement is a free software license agreement that is the result of discussions between its authors")),
+    ("ipl", ("the accompanying program is provided under the terms of this ibm public license",)),
+    ("lppl", ("this work may be distributed and or modified under the conditions of the latex project public license", "this work has the lppl maintenance status")),
+    ("w3c", ("this work is being provided by the copyright holders under the following license", "by obtaining using and or copying this work you the licensee agree that you have read understood and will comply")),
+    ("blueoak", ("this license gives everyone as much permission to work with this software as possible while protecting contributors from liability",)),
+    ("mulan-psl", ("you can use this software according to the terms and conditions of the mulan psl",)),
+    ("vim", ("there are no restrictions on distributing unmodified copies of vim except that they must include this license text",)),
+    ("json", ("the software shall be used for good not evil",)),
+    ("beerware", ("as long as you retain this notice you can do whatever you want with this stuff", "if we meet some day and you think this stuff is worth it you can buy me a beer")),
+    ("curl", ("except as contained in this notice the name of a copyright holder shall not be used in advertising",)),
+    ("x11", ("except as contained in this notice the name of the x consortium shall not be used in advertising",)),
+    ("freetype", ("portions of this software are copyright .{1,40}? the freetype project", "the freetype project license")),
+    ("libpng", ("the png reference library is supplied as is", "this copy of the libpng notices is provided for your convenience")),
+    ("ijg", ("this software is based in part on the work of the independent jpeg group",)),
+    ("bzip2", ("the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment",)),
+    ("public-domain", ("this (?:file|work|software|code|document) is (?:hereby )?(?:placed )?in the public domain", "the author disclaims copyright to this source code in place of a legal notice here is a blessing", "no rights reserved")),
+    ("proprietary", (
+        "unauthorized copying of this file via any medium is strictly prohibited",
+        "this software is the confidential and proprietary information of",
+        "no part of this (?:publication|document|book|work) may be reproduced",
+        "may not be reproduced(?: stored| copied| distributed)? .{0,60}?without (?:the )?(?:prior )?written permission",
+        "not for redistribution",
+        "for internal use only",
+    )),
+)
+
 IDENTIFIER, GRANT, VERSIONED, NAMED, MENTION = 0, 1, 2, 3, 4
 WEIGHT = {IDENTIFIER: 1.0, GRANT: 0.9, VERSIONED: 0.8, NAMED: 0.6, MENTION: 0.4}
 _KEEP = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
@@ -174,6 +335,9 @@ def rules() -> tuple[Rule, ...]:
             add(MENTION, label, f"{stem} licen[cs]ed?")
     for label, pattern, keywords in NOTICES:
         out[GRANT, label, pattern] = frozenset(k.encode() for k in keywords)
+    for label, phrases in SIGNATURES:
+        for pattern in phrases:
+            add(GRANT, label, pattern)
     made = [Rule(p, label, rb"(?<![^ ])" + pattern.encode() + rb"(?![^ ])", keys) for (p, label, pattern), keys in out.items()]
     return tuple(sorted(made, key=lambda r: (r.priority, r.label, r.pattern)))
 
@@ -185,6 +349,12 @@ def words(text: bytes | None) -> list[bytes]:
 RULES = rules()
 
 
+@cache
+def _compiled(pattern: bytes) -> re.Pattern[bytes]:
+    """Each worker compiles a rule when it first needs it; there are more rules than the cache of ``re`` holds."""
+    return re.compile(pattern)
+
+
 def detect(found: list[bytes]) -> list[tuple[int, int, int, str]]:
     """(first word, end word, priority, label) of what is left after suppression, in order of place."""
     kinds = set(found)
@@ -195,7 +365,7 @@ def detect(found: list[bytes]) -> list[tuple[int, int, int, str]]:
     begins = list(accumulate((len(w) + 1 for w in found), initial=0))
     hits: set[tuple[int, int, int, str]] = set()
     for r in tried:
-        for m in re.compile(r.pattern).finditer(line):
+        for m in _compiled(r.pattern).finditer(line):
             lo = bisect_right(begins, m.start()) - 1
             hits.add((lo, lo + m.group().count(b" ") + 1, r.priority, r.label))
     kept: list[tuple[int, int, int, str]] = []
