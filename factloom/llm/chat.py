@@ -19,9 +19,11 @@ where some stand there already), so ``<|`` in the output is always a control str
 code points) of the assistants' texts in the output.
 
 Defined cases: null text counts as empty, null role as empty, null event as ``message``, null msg_id
-as ``seq``; rows without conversation id form one conversation of their own; ties in ``seq`` are
-ordered by event, then text; repeated rows of a message set it again (deltas append again); an empty
-table gives an empty result; extra columns are ignored.
+as ``seq``; events without conversation id belong to no conversation and are left out, turns without
+one (:func:`format_conversations`) are each a conversation of their own; ties in ``seq`` are ordered
+by event, then text; repeated rows of a message set it again (deltas append again); an empty table
+gives an empty result; extra columns are ignored. A conversation is one row of output, so it must fit
+into a task's memory; nothing larger is ever gathered.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ def unescape(text: Column) -> Column:
 
 def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, position from 0, role, text) of the final messages."""
-    e = events.select(
+    e = events.filter("conv_id IS NOT NULL").select(
         "conv_id", "seq", F.coalesce("event", F.lit("message")).alias("event"), F.coalesce("msg_id", "seq").alias("msg_id"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
@@ -98,10 +100,13 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     Rows that repeat a turn number are messages of their own, ordered by role and text.
     """
+    # The key holds the id, and for turns without one where the row is read.
+    key = F.struct("conv_id", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone"))
+    keyed = turns.select(key.alias("conv_id"), "turn", "role", "text")
     same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    events = turns.select("conv_id", F.struct(F.col("turn"), F.row_number().over(same).alias("nth")).alias("seq"), F.lit("message").alias("event"), F.lit(None).alias("msg_id"), "role", "text")
+    events = keyed.select("conv_id", F.struct(F.col("turn"), F.row_number().over(same).alias("nth")).alias("seq"), F.lit("message").alias("event"), F.lit(None).alias("msg_id"), "role", "text")
     events = events.withColumn("msg_id", F.col("seq"))
-    return render(fold_events(events))
+    return render(fold_events(events)).withColumn("conv_id", F.col("conv_id.conv_id"))
 
 
 def digest(formatted: DataFrame) -> DataFrame:
