@@ -21,9 +21,10 @@ Segments are rows of a Parquet table (part, segment, ids before it in the part,
 retried tasks harmless and any store that Spark can write will do. The first id's number of each part
 is in the table ``<path>-parts``, from one count for each part.
 
-Encoding looks up the words between single spaces and line ends, which the tokenizer's pattern never
-joins, in a bounded memo in each worker. Words not met before go through the tokenizer: Latin ones to
-its model, piece by piece, others (and texts with runs of spaces) through the whole of it; texts with
+Encoding cuts a batch of texts into the words between single spaces and line ends, which the
+tokenizer's pattern never joins, and encodes each different word of the batch once; words of up to
+``LONG`` bytes stay in a memo in each worker, which knows them by 128 bits of hash and is bounded by
+bytes (:class:`_Memo`). Words not met before go through the tokenizer, many in one text; texts with
 white space of other kinds are encoded as a whole.
 
 Defined cases: null texts count as empty and have the end id only; repeated ids keep one entry each,
@@ -33,16 +34,17 @@ ordered by a hash of the text; an empty table gives an empty result; extra colum
 from __future__ import annotations
 
 import json
+import os
 import re
-import struct
-import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,17 +53,18 @@ from .common import bounded_batches
 
 BLOCK, PERCENTILE, SEGMENT_IDS = 256, 90, 1 << 19
 MAGIC = b"PFR1"
-MEMO = 1_200_000
+#: Bytes of a worker's memo before it is trimmed, and of the longest word that is kept.
+MEMO_BYTES, LONG = 128 << 20, 64
+NEW, APART = -1, -2
+#: New words that go through the tokenizer in one text.
+JOINED = 1000
 #: Texts encoded at a time.
 TEXTS_BYTES = 4 << 20
 
 _OTHER = re.compile(r"[^\S \n]|[\x00-\x09\x0b-\x1f\x7f-\xa0]")
 _RUN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: Words of characters whose classes are the same in every version of Unicode.
-_LATIN = re.compile(r"[!-~\xa1-\u024f]+\Z")
-#: Fixed value: how byte-level BPE cuts text before it merges.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_RUNS = ("  ", " \n", "\n ", "\n\n")
+#: Texts that are empty, begin or end with white space, or have more than one space or line end in a row.
+_UNEVEN = r"\A\z|\A[ \n]|[ \n]\z|[ \n][ \n]"
 
 
 def _byte_letters() -> dict[int, int]:
@@ -78,6 +81,27 @@ def _width(values: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.int64)
 
 
+def _squeezed(values: np.ndarray, w: int) -> np.ndarray:
+    """The low ``w`` bits of each value (rows of BLOCK), one after the other: eight of them are w bytes."""
+    if w > 16:
+        bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :w]
+        return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
+    v = (values & ((1 << w) - 1)).astype(np.uint64).reshape(-1, 8)
+    four = lambda k: v[:, k] | v[:, k + 1] << np.uint64(w) | v[:, k + 2] << np.uint64(2 * w) | v[:, k + 3] << np.uint64(3 * w)
+    low, high = four(0), four(4)
+    out = np.empty((len(v), 2), dtype="<u8")
+    out[:, 0] = low | (high << np.uint64(4 * w) if w < 16 else 0)
+    out[:, 1] = high >> np.uint64(64 - 4 * w) if w else 0
+    return out.view(np.uint8)[:, :w]
+
+
+def _spread(raw: np.ndarray, at: np.ndarray, w: int) -> np.ndarray:
+    """The values of whole blocks of width ``w`` that begin at the bytes ``at`` of ``raw``, which ends with 8 spare bytes."""
+    eights = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+    bit = np.arange(BLOCK) * w
+    return (eights[at[:, None] + (bit >> 3)] >> (bit & 7).astype(np.uint64) & np.uint64((1 << w) - 1)).astype(np.int64)
+
+
 def pack(ids: np.ndarray, documents: list[tuple[int | None, int]]) -> bytes:
     """One segment. ``documents``: id and number of ids of each, in order."""
     n = len(ids)
@@ -97,14 +121,17 @@ def pack(ids: np.ndarray, documents: list[tuple[int | None, int]]) -> bytes:
         high[-1, sizes[-1] :] = 0
     exceptions = (high > 0).sum(axis=1)
     packed: list[bytes] = [b""] * blocks
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
-        bits = np.unpackbits(over[rows].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :w].reshape(len(rows), -1)
-        for r, line in zip(rows, np.packbits(bits, axis=1, bitorder="little") if w else np.zeros((len(rows), 0), np.uint8), strict=True):
-            packed[r] = line[: -(-int(sizes[r]) * int(w) // 8)].tobytes()
-    for r in np.flatnonzero(exceptions):
-        at = np.flatnonzero(high[r])
-        packed[r] += at.astype("<u2").tobytes() + high[r][at].astype("<u4").tobytes()
+        lines = _squeezed(over[rows], w).tobytes()
+        each = BLOCK * w // 8
+        for k, r in enumerate(rows.tolist()):
+            packed[r] = lines[k * each : k * each + -(-int(sizes[r]) * w // 8)]
+    rows, at = np.nonzero(high)
+    places, above, last = at.astype("<u2").tobytes(), high[rows, at].astype("<u4").tobytes(), np.cumsum(exceptions).tolist()
+    for r in np.flatnonzero(exceptions).tolist():
+        a, b = last[r - 1] if r else 0, last[r]
+        packed[r] += places[2 * a : 2 * b] + above[4 * a : 4 * b]
     starts = np.cumsum([0, *map(len, packed)])[:-1]
     head = MAGIC + np.array([n], "<u8").tobytes() + np.array([len(documents), blocks], "<u4").tobytes()
     docs = np.array([d or 0 for d, _ in documents], "<i8").tobytes() + np.array([d is None for d, _ in documents], "u1").tobytes() + np.array([c for _, c in documents], "<u8").tobytes()
@@ -153,16 +180,12 @@ class Segment:
         if not self.n_blocks:
             return np.zeros(0, np.int64)
         out = np.zeros((self.n_blocks, BLOCK), dtype=np.int64)
-        raw = np.frombuffer(self._raw, np.uint8)
+        raw = np.frombuffer(self._raw + bytes(8), np.uint8)
         whole, at = self.n_blocks - 1, self._at + self._starts.astype(np.int64)
-        for w in np.unique(self._width[:whole]):
+        for w in np.unique(self._width[:whole]).tolist():
             rows = np.flatnonzero(self._width[:whole] == w)
-            w = int(w)
             if w:
-                packed = raw[at[rows][:, None] + np.arange(BLOCK * w // 8)]
-                bits = np.zeros((len(rows) * BLOCK, 32), dtype=np.uint8)
-                bits[:, :w] = np.unpackbits(packed, bitorder="little").reshape(-1, w)
-                out[rows] = np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(len(rows), BLOCK)
+                out[rows] = _spread(raw, at[rows], w)
             for r in rows[self._exceptions[rows] > 0]:
                 x, high = int(self._exceptions[r]), at[r] + BLOCK * w // 8
                 out[r, raw[high : high + 2 * x].copy().view("<u2")] |= raw[high + 2 * x : high + 6 * x].copy().view("<u4").astype(np.int64) << w
@@ -173,113 +196,238 @@ class Segment:
 # ---- encoding ---------------------------------------------------------------------------------
 
 
-class Encoder:
-    """Ids of texts as little-endian u32 bytes, with memos of words that last as long as the worker."""
+#: Multipliers of the two hashes by which a word is known, and what tells words after a space from others.
+_BASES, _AFTER_SPACE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
-    def __init__(self, tokenizer: str, name: str) -> None:
+
+def _hashes(words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of 64 bits of each word, from sums over all bytes of all words."""
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+    begin, end = ends[:-1] - ends[0], ends[1:] - ends[0]
+    out = []
+    for base in _BASES:
+        power, back = np.full((2, len(raw) + 1), base, dtype=np.uint64)
+        back[:] = pow(base, -1, 1 << 64)
+        power[0] = back[0] = 1
+        np.multiply.accumulate(power, out=power)
+        np.multiply.accumulate(back, out=back)
+        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(raw * power[:-1], out=sums[1:])
+        value = (sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64)
+        value *= np.uint64(base)
+        out.append(value ^ (value >> np.uint64(29)))
+    return out[0], out[1]
+
+
+def _joins(words: pa.LargeStringArray, between: str) -> list[str]:
+    """The words, ``JOINED`` of them in one text."""
+    lists = pa.ListArray.from_arrays(pa.array([*range(0, len(words), JOINED), len(words)], pa.int32()), words.cast(pa.string()))
+    return pc.binary_join(lists, between).to_pylist()
+
+
+class _Memo:
+    """Ids of words, known by two hashes; all in flat arrays.
+
+    It lasts as long as the worker. When its size reaches ``MEMO_BYTES``, only the words that two batches or
+    more have met are kept (none if those are over half of it).
+    """
+
+    def __init__(self, tokenizer: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are what runs side by side
         from tokenizers import Tokenizer
 
-        kept = sys.__dict__.setdefault("_factloom_encoders", {})
-        if name not in kept:
-            made = Tokenizer.from_str(tokenizer)
-            made.encode_special_tokens = True
-            kept[name] = (made, made.model, {}, {}, {})
-        #: Memos: words after a space, words that begin a line (and whole runs), pieces; None: not to be encoded apart.
-        self.tokenizer, self.model, self.spaced, self.bare, self.pieces = kept[name]
-        # The shortcuts below hold for byte-level BPE with the usual pattern; anything else is encoded whole.
+        self.tokenizer = Tokenizer.from_str(tokenizer)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        letters = _byte_letters()
+        space = chr(letters[0x20])
+        self.newline = vocabulary.get(chr(letters[0x0A]), NEW)
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
+        # The shortcuts of the encoder hold for byte-level BPE with the usual pattern; anything else is encoded whole.
         spec = json.loads(tokenizer)
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
         usual = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec.get("normalizer") is None
-        self.split = usual and model.get("type") == "BPE" and not model.get("dropout") and all(t["special"] for t in spec.get("added_tokens") or [])
-        self.letters = _byte_letters()
-        self.newline = self._piece("\n") if self.split else b""
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _learn(self, memo: dict[str, bytes | None], words: set[str], before: str) -> None:
-        others = []
-        known = self.pieces
-        for word in words:
-            if _LATIN.match(word):
-                ids = []
-                for piece in _PIECES.findall(before + word):
-                    if (x := known.get(piece)) is None:
-                        x = known[piece] = self._piece(piece)
-                    ids.append(x)
-                memo[word] = ids[0] if len(ids) == 1 else b"".join(ids)
-            elif _OTHER.search(word):
-                memo[word] = None
-            else:
-                others.append(word)
-        for word, x in zip(others, self._plain([before + w for w in others]), strict=True):
-            memo[word] = x
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.split:
-            return self._plain(texts)
-        for memo in (self.spaced, self.bare, self.pieces):
-            if len(memo) > MEMO // (1 if memo is self.spaced else 6):
-                memo.clear()
-        # A text is lines of words, or its runs where white space is not single.
-        cut: list[list[list[str]] | list[str]] = []
-        spaced: set[str] = set()
-        bare: set[str] = set()
-        for t in texts:
-            if any(r in t for r in _RUNS) or t[:1] in (" ", "\n") or t[-1:] in (" ", "\n"):
-                cut.append(_RUN.findall(t))
-                bare.update(cut[-1])
-                continue
-            lines = [line.split(" ") for line in t.split("\n")] if t else []
-            for words in lines:
-                spaced.update(words)
-                bare.add(words[0])
-            cut.append(lines)
-        spaced.difference_update(self.spaced)
-        bare.difference_update(self.bare)
-        self._learn(self.spaced, spaced, " ")
-        self._learn(self.bare, bare, "")
-        out: list[bytes | None] = []
-        after, first = self.spaced.__getitem__, self.bare.__getitem__
-        for parts in cut:
-            try:
-                if parts and isinstance(parts[0], str):
-                    out.append(b"".join(map(first, parts)))
-                else:
-                    out.append(self.newline.join([first(words[0]) + b"".join(map(after, words[1:])) for words in parts]))
-            except TypeError:  # a word that is not to be encoded apart
-                out.append(None)
-        whole = iter(self._plain([t for t, x in zip(texts, out, strict=True) if x is None]))
-        return [next(whole) if x is None else x for x in out]
-
-
-def _writer(tokenizer: object, name: str, end_id: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        self.split = usual and model.get("type") == "BPE" and not model.get("dropout") and all(t["special"] for t in spec.get("added_tokens") or []) and self.newline != NEW
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.checks = np.zeros((2, 0), dtype=np.uint64)  # sorted by key
+        self.entry = np.zeros(0, dtype=np.int32)
+        self.met = np.zeros(0, dtype=np.uint8)  # batches that met the word, 2 for more
+        self.pool, self.starts = array("I"), array("i", [0])
+
+    @property
+    def bytes(self) -> int:
+        return 21 * len(self.keys) + 4 * len(self.starts) + 4 * len(self.pool)
+
+    def add_all(self, ids: np.ndarray, counts: np.ndarray) -> int:
+        """Entries of ``counts`` ids each; the number of the first."""
+        first, end = len(self.starts) - 1, len(self.pool)
+        self.pool.frombytes(ids.astype("<u4").tobytes())
+        self.starts.frombytes((end + np.cumsum(counts)).astype("<i4").tobytes())
+        return first
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The entry of each word, NEW for words that are not known."""
+        order = np.argsort(keys)  # in order the search walks through the memo once
+        at = np.minimum(np.searchsorted(self.keys, keys[order]), max(0, len(self.keys) - 1))
+        out = np.full(len(keys), NEW, dtype=np.int64)
+        if len(self.keys):
+            same = (self.keys[at] == keys[order]) & (self.checks[at] == checks[order])
+            out[order[same]] = self.entry[at[same]]
+            self.met[at[same]] = 2
+        return out
+
+    def keep(self, keys: np.ndarray, checks: np.ndarray, entries: np.ndarray) -> None:
+        """Know new words from now on."""
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.checks = np.insert(self.keys, at, keys[order]), np.insert(self.checks, at, checks[order])
+        self.entry, self.met = np.insert(self.entry, at, entries[order].astype(np.int32)), np.insert(self.met, at, 1)
+
+    def trim(self) -> None:
+        if self.bytes <= MEMO_BYTES:
+            return
+        often = self.met > 1
+        keys, checks, entry, starts, pool = self.keys[often], self.checks[often], self.entry[often], np.array(self.starts), np.array(self.pool)
+        self._clear()
+        counts = starts[entry + 1] - starts[entry]
+        first = self.add_all(pool[np.arange(counts.sum()) + np.repeat(starts[entry] - (np.cumsum(counts) - counts), counts)], counts)
+        self.keep(keys, checks, first + np.arange(len(keys)))
+        if self.bytes > MEMO_BYTES // 2:
+            self._clear()
+
+
+#: The memo of each tokenizer in this worker.
+_MEMOS: dict[str, _Memo] = {}
+
+
+class Encoder:
+    """Ids of texts as little-endian u32 bytes."""
+
+    def __init__(self, tokenizer: str, name: str) -> None:
+        if name not in _MEMOS:
+            _MEMOS[name] = _Memo(tokenizer)
+        self.memo = _MEMOS[name]
+
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.memo.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, words: pa.LargeStringArray, after_space: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without white space, all together, and how many of each; ``JOINED`` words are one text.
+
+        After a space each word's first id, and no other, begins with the space; line ends are ids of their own.
+        """
+        between = " " if after_space else "\n"
+        texts = [between + t for t in _joins(words, between)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(x, dtype="<u4") for x in self._plain(texts))])
+        begins = np.flatnonzero(self.memo.spaced[ids] if after_space else ids == self.memo.newline)
+        if len(begins) != len(words):
+            raise ValueError("words and ids do not match")
+        counts = np.diff(np.r_[begins, len(ids)])
+        return (ids, counts) if after_space else (np.delete(ids, begins), counts - 1)
+
+    def _entries(self, words: pa.LargeStringArray, hashes: tuple[np.ndarray, np.ndarray], after_space: bool) -> np.ndarray:
+        """The entry of each word (all different), APART for one that is not to be encoded apart."""
+        keys, checks = (h ^ _AFTER_SPACE if after_space else h for h in hashes)
+        out = self.memo.find(keys, checks)
+        new = np.flatnonzero(out == NEW)
+        met = words.take(pa.array(new))
+        single = np.zeros(len(new), dtype=bool)
+        if not after_space:  # runs with white space inside
+            single = np.asarray(pc.or_(pc.match_substring(met, " "), pc.match_substring(met, "\n")))
+        apart = np.zeros(len(new), dtype=bool)
+        if any(_OTHER.search(t) for t in _joins(met, " ")):
+            apart[:] = [bool(_OTHER.search(w)) for w in met.to_pylist()]
+            out[new[apart]] = APART
+            single &= ~apart
+        many = np.flatnonzero(~(single | apart))
+        if len(many):
+            part = met.take(pa.array(many))
+            first = self.memo.add_all(*self._joined(part, after_space))
+            out[new[many]] = first + np.arange(len(many))
+            short = np.asarray(pc.binary_length(part)) <= LONG
+            which = new[many[short]]
+            self.memo.keep(keys[which], checks[which], out[which])
+        for k, ids in zip(np.flatnonzero(single), self._plain(met.take(pa.array(np.flatnonzero(single))).to_pylist()), strict=True):
+            out[new[k]] = self.memo.add_all(np.array(ids, dtype="<u4"), np.array([len(ids)]))
+        return out
+
+    def __call__(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not self.memo.split:
+            return [np.array(x, "<u4").tobytes() for x in self._plain(texts.to_pylist())]
+        self.memo.trim()
+        # Texts of words with single spaces and line ends between them are cut by Arrow, others into runs.
+        odd = pc.match_substring_regex(texts, _UNEVEN)
+        even, rest = np.flatnonzero(~np.asarray(odd)), np.flatnonzero(odd)
+        cut = pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n "), " ")
+        runs = [_RUN.findall(t) for t in texts.filter(odd).to_pylist()]
+        counts = np.r_[np.diff(np.asarray(cut.offsets)), [len(r) for r in runs]].astype(np.int64)
+        words = pa.concat_arrays([cut.flatten(), pa.array([w for r in runs for w in r], pa.large_string())]).dictionary_encode()
+        code, known = np.asarray(words.indices), words.dictionary
+        ends = np.cumsum(counts)
+        line_end = code == (known.index("\n").as_py() if len(known) else -2)
+        bare = np.r_[True, line_end[:-1]] | line_end if len(code) else line_end
+        bare[(ends - counts)[counts > 0]] = True
+        bare[int(counts[: len(even)].sum()) :] = True
+        # Each different word once, after a space and at the beginning of a line.
+        at = np.zeros((2, len(known)), dtype=np.int64)
+        hashes = _hashes(known) if len(known) else (at[0], at[0])
+        for after_space in (False, True):
+            here = np.zeros(len(known), dtype=bool)
+            here[code[bare != after_space]] = True
+            which = np.flatnonzero(here)
+            if len(which):
+                at[int(after_space), which] = self._entries(known.take(pa.array(which)), (hashes[0][which], hashes[1][which]), after_space)
+        entry = at.astype(np.int32).ravel()[code + np.where(bare, 0, len(known)).astype(np.int32)]
+        apart = np.unique(np.searchsorted(ends, np.flatnonzero(entry == APART), side="right"))
+        entry[entry == APART] = 0
+        starts, pool = np.frombuffer(self.memo.starts, dtype=np.int32), np.frombuffer(self.memo.pool, dtype="<u4") if self.memo.pool else np.zeros(0, "<u4")
+        begin = starts[entry]
+        n = starts[entry + 1] - begin if len(entry) else entry
+        total = np.cumsum(n, dtype=np.int64)
+        # Steps of one inside a word, and from the end of one word's ids to the beginning of the next one's.
+        step = np.ones(int(total[-1]) if len(total) else 0, dtype=np.int32)
+        some = np.flatnonzero(n)
+        if len(some):
+            step[0] = begin[some[0]]
+            step[(total - n)[some[1:]]] = begin[some[1:]] - (begin + n)[some[:-1]] + 1
+        ids = pool[np.cumsum(step, dtype=np.int32)]
+        last = np.r_[0, total][ends]
+        order = np.r_[even, rest]
+        out: list[bytes] = [b""] * len(texts)
+        for k, a, b in zip(order.tolist(), np.r_[0, last[:-1]].tolist(), last.tolist(), strict=True):
+            out[k] = ids[a:b].tobytes()
+        whole = [int(order[k]) for k in apart]
+        for k, x in zip(whole, self._plain(texts.take(pa.array(whole, pa.int64())).to_pylist()), strict=True):
+            out[k] = np.array(x, "<u4").tobytes()
+        return out
+
+
+def _writer(tokenizer: object, name: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     end = np.array([end_id], "<u4").tobytes()
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer.value, name)
         part, segment = TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, bytes]] = []
         size = before = 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
-            return pd.DataFrame({"part": [part], "segment": [segment], "before": [before], "ids": [len(ids)], "payload": [pack(ids, [(d, len(x) // 4) for d, x in held])]})
+            row = {"part": part, "segment": segment, "before": before, "ids": len(ids), "payload": pack(ids, [(d, len(x) // 4) for d, x in held])}
+            return pa.RecordBatch.from_pylist([row], _SEGMENTS)
 
-        for frame in frames:
-            texts = [t if t is not None else "" for t in frame["text"]]
-            ids = [None if pd.isna(d) else int(d) for d in frame["doc_id"]]
+        for batch in batches:
+            texts, ids = batch.column("text").fill_null(""), batch.column("doc_id").to_pylist()
+            ends = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64)
             lo = 0
-            while lo < len(texts):
-                hi, n = lo, 0
-                while hi < len(texts) and (n < TEXTS_BYTES or hi == lo):
-                    n += len(texts[hi])
-                    hi += 1
-                for d, x in zip(ids[lo:hi], encoder(texts[lo:hi]), strict=True):
+            while lo < len(ids):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TEXTS_BYTES, side="right")))
+                for d, x in zip(ids[lo:hi], encoder(texts.slice(lo, hi - lo)), strict=True):
                     held.append((d, x + end))
                     size += len(x) // 4 + 1
                     if size >= SEGMENT_IDS:
@@ -292,6 +440,9 @@ def _writer(tokenizer: object, name: str, end_id: int) -> Callable[[Iterator[pd.
     return write
 
 
+_SEGMENTS = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("ids", pa.int64()), ("payload", pa.binary())])
+
+
 def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write the segments of ``docs`` to the Parquet table ``path`` and the parts' first numbers to ``<path>-parts``."""
     spark = docs.sparkSession
@@ -299,8 +450,10 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer = spark.sparkContext.broadcast(file.read())
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    made = dealt.mapInPandas(_writer(tokenizer, tokenizer_path, end_id), "part int, segment int, before long, ids long, payload binary")
+    # Rows that share an id are split by their texts, equal rows by where they are read.
+    keyed = rows.withColumns({"_h": F.xxhash64("text"), "_tie": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange("doc_id", "_h", "_tie").sortWithinPartitions("doc_id", "_h", "_tie").select("doc_id", "text")
+    made = dealt.mapInArrow(_writer(tokenizer, tokenizer_path, end_id), "part int, segment int, before long, ids long, payload binary")
     made.write.parquet(path)
     first, parts = 0, []
     for r in spark.read.parquet(path).groupBy("part").agg(F.sum("ids").alias("n")).orderBy("part").collect():

@@ -213,7 +213,7 @@ def test_token_encoder_equals_tokenizer():
     words = ["<|endoftext|>", "don't", "I'll", "x'", "''s", "  ", "\n\n", " \n", "a\tb", " ", "Straße,", "中文字", "12.5%"]
     texts = ["".join(pick.choice(letters if pick.random() < 0.8 else words) for _ in range(pick.randint(0, 40))) for _ in range(4000)]
     texts += [" ".join(pick.choice(words) for _ in range(pick.randint(0, 12))) for _ in range(2000)]
-    assert encoder.split
+    assert encoder.memo.split
     for _ in range(2):  # with empty memos and with full ones
         for text, ids in zip(texts, encoder(texts), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
