@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 from .functions import predicates as P
 from .operators import edges, graph, hierarchy, lookup, resolve
 from .plans.facts import Facts
-from .sources import fixtures
+from .sources import extraction, fixtures
 
 FLAGSHIP = "functions_regex"
 NAME_PATTERN, FUNCTION, CLASS = "^small_.*(ring|bolt)$", "blue_rod", "Brand_2"
 
 _WORK: dict[str, Callable[[Facts], DataFrame]] = {}
+_INSTEAD: dict[str, dict[str, str]] = {}
 _SQL: dict[str, str] = {}
 
 
-def _query(sql: str | None = None) -> Callable[[Callable[[Facts], DataFrame]], Callable[[Facts], DataFrame]]:
+def _query(sql: str | None = None, **instead: str) -> Callable[[Callable[[Facts], DataFrame]], Callable[[Facts], DataFrame]]:
     def add(f: Callable[[Facts], DataFrame]) -> Callable[[Facts], DataFrame]:
-        _WORK[f.__name__] = f
+        _WORK[f.__name__], _INSTEAD[f.__name__] = f, instead
         if sql is not None:
             _SQL[f.__name__] = sql
         return f
@@ -62,9 +63,9 @@ def functions_regex(f: Facts) -> DataFrame:
     return lookup.functions(f, NAME_PATTERN, with_params=False).drop("id", "file_id")
 
 
-@_query(f"SELECT x.name, x.class_name, f.path, x.start_line, x.end_line {_LOCATED} WHERE regexp_matches(x.name, '(metallic|metal).*bolt') AND f.language = 'en'")
+@_query(f"SELECT x.name, x.class_name, f.path, x.start_line, x.end_line {_LOCATED} WHERE regexp_matches(x.name, '(small|red)_(ring|bolt)$') AND f.language = 'en'")
 def functions_prefiltered(f: Facts) -> DataFrame:
-    return lookup.functions(f.of_language("en"), "(metallic|metal).*bolt", with_params=False).drop("id", "file_id")
+    return lookup.functions(f.of_language("en"), "(small|red)_(ring|bolt)$", with_params=False).drop("id", "file_id")
 
 
 @_query(f"SELECT x.name, x.class_name, f.path, x.start_line, x.end_line {_LOCATED} WHERE x.name = '{FUNCTION}' AND x.class_name = '{CLASS}'")
@@ -128,9 +129,9 @@ def refs_by_name(f: Facts) -> DataFrame:
     return lookup.refs(f, "the")
 
 
-@_query("SELECT id, path, language, size_bytes FROM cf_files WHERE language IN ('en', 'de') AND id % 3 <> 0")
+@_query("SELECT id, path, language, size_bytes FROM cf_files WHERE language IN ('en', 'de') AND size_bytes < 2000")
 def stale_files(f: Facts) -> DataFrame:
-    return lookup.stale_files(f, f.files.filter("id % 3 = 0"), ["en", "de"]).select("id", "path", "language", "size_bytes")
+    return lookup.stale_files(f, f.files.filter("size_bytes >= 2000"), ["en", "de"]).select("id", "path", "language", "size_bytes")
 
 
 _DISTINCT_CALLS = "dc AS MATERIALIZED (SELECT DISTINCT file_id, callee, caller, caller_class_name, object_name, object_kind, start_line, end_line FROM cf_calls)"
@@ -170,14 +171,15 @@ def file_ancestors(f: Facts) -> DataFrame:
     return hierarchy.file_ancestors(f)
 
 
-# In this view every named caller is a function of its file, so the SQL leaves the semi-join out (with it this DuckDB build fails).
-@_query(f"WITH {_DISTINCT_CALLS}, g AS MATERIALIZED (SELECT callee, caller, count(*) AS n FROM dc GROUP BY callee, caller) SELECT callee, n FROM g WHERE md5(caller) = md5('{FUNCTION}')")
+@_query(f"""WITH {_DISTINCT_CALLS}, own AS MATERIALIZED (SELECT DISTINCT file_id, md5(name) AS caller FROM cf_functions),
+g AS MATERIALIZED (SELECT file_id, callee, md5(caller) AS caller, count(*) AS n FROM dc GROUP BY file_id, callee, md5(caller))
+SELECT callee, CAST(sum(n) AS BIGINT) AS n FROM g SEMI JOIN own USING (file_id, caller) WHERE caller = md5('{FUNCTION}') GROUP BY callee""")
 def callees_exists(f: Facts) -> DataFrame:
     own = f.functions.select("file_id", F.col("name").alias("caller"))
     return resolve.distinct_calls(f).filter(F.col("caller") == FUNCTION).join(own, ["file_id", "caller"], "left_semi").groupBy("callee").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT name, CASE WHEN count(DISTINCT class_name) = 1 THEN min(class_name) END AS only_class FROM cf_functions WHERE class_name IS NOT NULL GROUP BY name")
+@_query("SELECT name, CASE WHEN count(DISTINCT class_name) = 1 THEN min(class_name) END AS only_class FROM cf_sized_functions WHERE class_name IS NOT NULL GROUP BY name", functions="sized_functions")
 def unique_method_target(f: Facts) -> DataFrame:
     return resolve.method_owners(f)
 
@@ -196,7 +198,7 @@ def call_candidates(f: Facts) -> DataFrame:
 
 
 @_query(f"""WITH {_DISTINCT_CALLS}, {_INNERMOST},
-ft AS MATERIALIZED (SELECT DISTINCT file_id, class_name, unnest(regexp_split_to_array(field_type, '[^A-Za-z0-9_]+')) AS token FROM cf_fields WHERE field_type IS NOT NULL AND name = 'attr2')
+ft AS MATERIALIZED (SELECT DISTINCT file_id, class_name, unnest(list_filter(regexp_split_to_array(field_type, '[^A-Za-z0-9_]+'), lambda t: t <> '')) AS token FROM cf_fields WHERE field_type IS NOT NULL AND name = 'attr2')
 SELECT i.fn_id, i.callee, i.start_line, count(*) AS n_tokens FROM inner_calls i JOIN ft ON ft.file_id = i.file_id AND ft.class_name = i.fn_class WHERE i.object_kind = 3 GROUP BY i.fn_id, i.callee, i.start_line""")
 def typed_receiver(f: Facts) -> DataFrame:
     inside = resolve.enclosing(resolve.distinct_calls(f).filter("object_name = 'self.attr2'"), f)
@@ -211,17 +213,77 @@ def callers(f: Facts) -> DataFrame:
     return edges.callers(f, FUNCTION)
 
 
-@_query()
+#: Types by attribute, super classes and ancestors by class, properties; names are compared as hashes where this DuckDB build fails on them.
+_TYPES = """ft AS MATERIALIZED (SELECT DISTINCT file_id, class_name, name AS attr, unnest(list_filter(regexp_split_to_array(field_type, '[^A-Za-z0-9_]+'), lambda t: t <> '')) AS token FROM cf_fields WHERE field_type IS NOT NULL),
+pt AS MATERIALIZED (SELECT DISTINCT function_id, name AS attr, unnest(list_filter(regexp_split_to_array(param_type, '[^A-Za-z0-9_]+'), lambda t: t <> '')) AS token FROM cf_function_params WHERE param_type IS NOT NULL),
+ds AS MATERIALIZED (SELECT DISTINCT c.file_id, c.name AS class_name, s.super_class_name FROM cf_class_super_classes s JOIN cf_classes c ON c.id = s.class_id),
+up AS (SELECT file_id, class_name, super_class_name AS ancestor FROM ds UNION SELECT w.file_id, w.class_name, d.super_class_name FROM up w JOIN ds d ON d.file_id = w.file_id AND d.class_name = w.ancestor),
+anc AS MATERIALIZED (SELECT file_id, class_name, ancestor FROM up WHERE class_name <> ancestor),
+props AS MATERIALIZED (SELECT DISTINCT property_name, class_name FROM cf_python_properties),
+pf AS MATERIALIZED (SELECT g.* FROM cf_functions g WHERE EXISTS (SELECT 1 FROM props p WHERE p.property_name = g.name AND (g.class_name IS NULL OR p.class_name = g.class_name))),
+reads AS MATERIALIZED (SELECT DISTINCT file_id, property_name AS callee, caller, caller_class_name, object_name, object_kind, object_type, start_line, end_line, md5(caller) = md5('<module>') AS outside FROM cf_python_property_callers)"""
+_ALL_CALLS = f"{_DISTINCT_CALLS}, {_INNERMOST}, {_TYPES}"
+
+
+def _typed(row: str, target: str, function: str = "fn_id", own: str = "fn_class") -> str:
+    """A type of the attribute that the object of ``row`` begins with names the class ``target``."""
+    attr = f"CASE WHEN {row}.object_name = 'self.attr2' THEN 'attr2' ELSE {row}.object_name END"
+    return f"(EXISTS (SELECT 1 FROM ft t WHERE t.file_id = {row}.file_id AND t.class_name = {row}.{own} AND t.attr = {attr} AND t.token = {target}) OR EXISTS (SELECT 1 FROM pt t WHERE t.function_id = {row}.{function} AND t.attr = {attr} AND t.token = {target}))"
+
+
+def _call_goes(row: str, target: str, own: str = "fn_class") -> str:
+    """A call goes to the class ``target``, by the kind of its object: none, self, a class, a field, super()."""
+    return f"""CASE {row}.object_kind WHEN 0 THEN coalesce({row}.{own} = {target}, false) WHEN 1 THEN coalesce({row}.{own} = {target}, false)
+  WHEN 4 THEN EXISTS (SELECT 1 FROM ds t WHERE t.file_id = {row}.file_id AND t.class_name = {row}.{own} AND t.super_class_name = {target}) ELSE {row}.object_name = {target} OR {_typed(row, target, own=own)} END"""
+
+
+def _read_goes(row: str, target: str) -> str:
+    return f"""CASE WHEN {row}.object_name IS NULL THEN coalesce({row}.fn_class = {target}, false) WHEN {row}.object_kind = 0 THEN coalesce({row}.fn_class = {target}, false) OR EXISTS (SELECT 1 FROM anc t WHERE t.file_id = {row}.file_id AND t.class_name = {row}.fn_class AND t.ancestor = {target})
+  ELSE {row}.object_name IS DISTINCT FROM {target} AND {_typed(row, target)} END"""
+
+
+def _around(rows: str, columns: str) -> str:
+    """``rows`` with the innermost function around them."""
+    return f"""(SELECT * EXCLUDE (rank) FROM (SELECT c.*, x.id AS fn_id, x.class_name AS fn_class, x.start_line AS fn_start, x.end_line AS fn_end, row_number() OVER (PARTITION BY {columns} ORDER BY x.start_line DESC, x.end_line, x.id) AS rank
+  FROM {rows} c JOIN cf_functions x ON x.file_id = c.file_id AND x.name = c.caller AND c.start_line BETWEEN x.start_line AND x.end_line AND (c.caller_class_name IS NULL OR c.caller_class_name = x.class_name)) q WHERE rank = 1)"""
+
+
+_READS_AROUND = _around("(SELECT * FROM reads WHERE NOT outside)", "c.file_id, c.callee, c.caller, c.caller_class_name, c.object_name, c.object_type, c.start_line")
+_PICKED = f"md5(callee) = md5('{FUNCTION}')"
+
+
+@_query(f"""WITH RECURSIVE {_ALL_CALLS},
+o AS MATERIALIZED (SELECT count(DISTINCT class_name) = 1 AND min(class_name) = '{CLASS}' AS one FROM cf_functions WHERE class_name IS NOT NULL AND md5(name) = md5('{FUNCTION}')),
+i AS MATERIALIZED (SELECT * REPLACE (coalesce(caller_class_name, fn_class) AS fn_class) FROM inner_calls WHERE {_PICKED}),
+m AS MATERIALIZED (SELECT * FROM dc WHERE caller IS NULL AND {_PICKED}),
+r AS MATERIALIZED (SELECT * FROM {_READS_AROUND} x WHERE {_PICKED} AND EXISTS (SELECT 1 FROM props WHERE md5(property_name) = md5('{FUNCTION}') AND class_name = '{CLASS}')),
+s AS MATERIALIZED (SELECT * FROM reads WHERE outside AND {_PICKED} AND EXISTS (SELECT 1 FROM props WHERE md5(property_name) = md5('{FUNCTION}') AND class_name = '{CLASS}')),
+found AS (SELECT caller, file_id, start_line, end_line FROM i, o WHERE {_call_goes("i", f"'{CLASS}'")} OR (one AND object_kind >= 2)
+UNION SELECT '<module>', file_id, start_line, end_line FROM m, o WHERE (object_kind = 2 AND object_name = '{CLASS}') OR (one AND object_kind >= 2)
+UNION SELECT caller, file_id, start_line, end_line FROM r WHERE {_read_goes("r", f"'{CLASS}'")}
+UNION SELECT '<module>', file_id, start_line, end_line FROM s WHERE object_name <> '{CLASS}' AND list_contains(regexp_split_to_array(object_type, '[^A-Za-z0-9_]+'), '{CLASS}'))
+SELECT DISTINCT caller, path, start_line, end_line FROM found JOIN cf_files f ON f.id = found.file_id""")
 def callers_of_method(f: Facts) -> DataFrame:
     return edges.callers(f, FUNCTION, CLASS)
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_ALL_CALLS},
+own AS MATERIALIZED (SELECT DISTINCT file_id FROM cf_functions WHERE md5(name) = md5('{FUNCTION}')),
+h AS MATERIALIZED (SELECT file_id, callee, caller_class_name, object_kind, CASE WHEN object_kind = 0 THEN callee ELSE object_name || '.' || callee END AS told, start_line, end_line, md5(caller) AS caller FROM dc
+GROUP BY file_id, callee, caller_class_name, object_kind, CASE WHEN object_kind = 0 THEN callee ELSE object_name || '.' || callee END, start_line, end_line, md5(caller)),
+c AS MATERIALIZED (SELECT * FROM h SEMI JOIN own USING (file_id) WHERE caller = md5('{FUNCTION}')),
+g AS MATERIALIZED (SELECT c.file_id, c.start_line, c.end_line, c.callee, c.caller_class_name, x.name, x.class_name FROM c LEFT JOIN cf_functions x ON x.name = c.callee
+  AND EXISTS (SELECT 1 FROM ds t WHERE t.file_id = c.file_id AND t.class_name = c.caller_class_name AND t.super_class_name = x.class_name) WHERE c.object_kind = 4),
+found AS (SELECT told AS callee, file_id, start_line, end_line FROM c WHERE object_kind <> 4
+UNION SELECT CASE WHEN name IS NULL THEN 'super().' || callee ELSE class_name || '.' || name END, file_id, start_line, end_line FROM g
+UNION SELECT coalesce(object_name || '.' || callee, callee), file_id, start_line, end_line FROM reads SEMI JOIN own USING (file_id) WHERE md5(caller) = md5('{FUNCTION}') AND caller_class_name IS NULL)
+SELECT DISTINCT callee, path, start_line, end_line FROM found JOIN cf_files f ON f.id = found.file_id""")
 def callees(f: Facts) -> DataFrame:
     return edges.callees(f, FUNCTION)
 
 
-@_query()
+@_query(f"""WITH {_DISTINCT_CALLS}, m AS MATERIALIZED (SELECT *, md5(object_name) AS o FROM dc WHERE object_kind = 2 AND {_PICKED})
+SELECT DISTINCT coalesce(caller, '<module>') AS caller, path, start_line, end_line FROM m JOIN cf_files f ON f.id = m.file_id WHERE o = md5('mod')""")
 def callers_dotted(f: Facts) -> DataFrame:
     return edges.callers(f, f"mod.{FUNCTION}")
 
@@ -237,29 +299,63 @@ def _resolved(f: Facts, calls: str) -> DataFrame:
     return met.filter("g_id >= 0").select(F.col("fn_id").alias("src"), F.col("g_id").alias("dst"), F.col("start_line").alias("site_line")).distinct()
 
 
-@_query(f"""WITH {_DISTINCT_CALLS}, {_INNERMOST}
-SELECT i.fn_id AS src, g.id AS dst, i.start_line AS site_line FROM inner_calls i JOIN cf_functions g ON g.name = i.callee AND g.class_name = i.fn_class
-WHERE i.object_kind = 1 AND i.caller LIKE 'blue%' AND i.fn_class IS NOT DISTINCT FROM i.caller_class_name GROUP BY i.fn_id, g.id, i.start_line""")
-def forward_self_calls(f: Facts) -> DataFrame:
-    inside = resolve.enclosing(resolve.distinct_calls(f).filter(F.col("caller").like("blue%")).filter("object_name = 'self'"), f)
-    met = resolve.resolve_forward(resolve.with_receiver(inside.filter(F.col("fn_class").eqNullSafe(F.col("caller_class_name"))), f), f)
-    return met.filter("g_id >= 0").select(F.col("fn_id").alias("src"), F.col("g_id").alias("dst"), F.col("start_line").alias("site_line")).distinct()
-
-
-@_query(f"""WITH {_DISTINCT_CALLS}, {_INNERMOST},
-c AS (SELECT DISTINCT fn_id, file_id, fn_class, callee, start_line FROM inner_calls WHERE object_kind = 0 AND caller = '{FUNCTION}' AND fn_class IS NOT DISTINCT FROM caller_class_name),
-m AS (SELECT c.*, g.id AS g_id, coalesce(g.class_name = c.fn_class, false) AS own, g.class_name IS NULL AS is_global, g.class_name IS NULL AND g.file_id = c.file_id AS here FROM c JOIN cf_functions g ON g.name = c.callee),
-w AS (SELECT *, max(CASE WHEN here THEN 1 ELSE 0 END) OVER (PARTITION BY fn_id, callee, start_line) AS any_here FROM m),
-p AS (SELECT *, own OR CASE WHEN any_here = 1 THEN here ELSE is_global END AS pick FROM w),
-q AS (SELECT *, max(CASE WHEN pick THEN 1 ELSE 0 END) OVER (PARTITION BY fn_id, callee, start_line) AS picked FROM p)
-SELECT DISTINCT fn_id AS src, g_id AS dst, start_line AS site_line FROM q WHERE pick OR picked = 0""")
-def forward_plain_calls(f: Facts) -> DataFrame:
-    inside = resolve.enclosing(resolve.distinct_calls(f).filter(F.col("caller") == FUNCTION).filter("object_name IS NULL"), f)
-    met = resolve.resolve_forward(resolve.with_receiver(inside.filter(F.col("fn_class").eqNullSafe(F.col("caller_class_name"))), f), f)
-    return met.filter("g_id >= 0").select(F.col("fn_id").alias("src"), F.col("g_id").alias("dst"), F.col("start_line").alias("site_line")).distinct()
-
-
-@_query()
+def _forward(callers: str) -> str:
+    """Tables up to ``e``, the forward edges of the functions with names that ``callers`` picks."""
+    return f"""{_ALL_CALLS},
+c AS MATERIALIZED (SELECT DISTINCT fn_id, file_id, fn_class, callee, object_kind, object_name, start_line, end_line FROM inner_calls WHERE fn_class IS NOT DISTINCT FROM caller_class_name AND {callers}),
+k AS MATERIALIZED (SELECT *, row_number() OVER () AS k FROM c),
+m AS MATERIALIZED (SELECT k.*, g.id AS g_id, g.file_id AS g_file, g.name AS g_name, g.class_name AS g_class, g.start_line AS g_start, g.end_line AS g_end, g.class_name IS NULL AND g.id IS NOT NULL AS free,
+  g.class_name IS NULL AND g.file_id = k.file_id AS here, {_call_goes("k", "g.class_name")} AS goes FROM k LEFT JOIN cf_functions g ON g.name = k.callee),
+w AS (SELECT *, max(CASE WHEN here THEN 1 ELSE 0 END) OVER (PARTITION BY k) AS any_here, min(g_class) OVER (PARTITION BY k) AS low, max(g_class) OVER (PARTITION BY k) AS high FROM m),
+p AS (SELECT *, coalesce(goes, false) OR (object_kind = 0 AND CASE WHEN any_here = 1 THEN coalesce(here, false) ELSE free END) AS pick FROM w),
+q AS (SELECT *, max(CASE WHEN pick THEN 1 ELSE 0 END) OVER (PARTITION BY k) AS picked FROM p),
+t AS (SELECT *, CASE WHEN picked = 1 THEN pick WHEN object_kind IN (2, 3) THEN coalesce(g_class IS NOT NULL AND low = high, false) WHEN object_kind = 0 THEN g_id IS NOT NULL ELSE false END AS take FROM q),
+v AS MATERIALIZED (SELECT *, max(CASE WHEN take THEN 1 ELSE 0 END) OVER (PARTITION BY k) AS taken FROM t),
+rk AS MATERIALIZED (SELECT r.*, x.id AS fn_id, x.class_name AS fn_class, row_number() OVER () AS k FROM (SELECT * FROM reads WHERE NOT outside AND {callers}) r JOIN cf_functions x ON x.file_id = r.file_id AND x.name = r.caller AND r.start_line BETWEEN x.start_line AND x.end_line AND x.class_name IS NOT DISTINCT FROM r.caller_class_name),
+rm AS MATERIALIZED (SELECT rk.*, g.id AS g_id, g.file_id AS g_file, g.name AS g_name, g.class_name AS g_class, g.start_line AS g_start, g.end_line AS g_end, coalesce({_read_goes("rk", "coalesce(g.class_name, '')")}, false) AS take FROM rk LEFT JOIN pf g ON g.name = rk.callee),
+rv AS MATERIALIZED (SELECT *, max(CASE WHEN take AND g_id IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY k) AS taken FROM rm),
+e AS MATERIALIZED ({" UNION ".join(f"SELECT fn_id AS src, g_id AS dst, g_file AS dst_file, g_name AS dst_name, g_class AS dst_class, g_start AS dst_start, g_end AS dst_end, file_id AS site_file, start_line AS site_line FROM {x} WHERE take AND g_id IS NOT NULL UNION SELECT fn_id, -1, file_id, CASE WHEN object_name IS NULL THEN callee ELSE object_name || '.' || callee END, NULL, start_line, end_line, file_id, start_line FROM {x} WHERE taken = 0" for x in ("v", "rv"))})"""
+
+
+def _backward(picked: str) -> str:
+    """Tables up to ``e``, the backward edges of the functions with names that ``picked`` picks (by callee)."""
+    seen = ("file_id, start_line", "fn_id AS dst, file_id AS dst_file, caller AS dst_name, fn_class AS dst_class, fn_start AS dst_start, fn_end AS dst_end", "-1 AS dst, file_id AS dst_file, '<module>' AS dst_name, NULL AS dst_class, start_line AS dst_start, end_line AS dst_end")
+    return f"""{_ALL_CALLS},
+n AS MATERIALIZED (SELECT id AS src, name AS callee, class_name AS n_class FROM cf_functions),
+o AS MATERIALIZED (SELECT name, CASE WHEN count(DISTINCT class_name) = 1 THEN min(class_name) END AS only_class FROM cf_functions WHERE class_name IS NOT NULL GROUP BY name),
+a AS MATERIALIZED (SELECT n.*, coalesce(o.only_class = n_class, false) AS one FROM n LEFT JOIN o ON o.name = n.callee WHERE {picked}),
+ap AS MATERIALIZED (SELECT a.* FROM a WHERE src IN (SELECT id FROM pf)),
+i AS MATERIALIZED (SELECT inner_calls.*, a.src, a.n_class, a.one FROM inner_calls JOIN a ON a.callee = inner_calls.callee),
+u AS MATERIALIZED (SELECT dc.*, a.src, a.n_class, a.one FROM dc JOIN a ON a.callee = dc.callee WHERE dc.caller IS NULL),
+r AS MATERIALIZED (SELECT x.*, ap.src, ap.n_class FROM {_READS_AROUND} x JOIN ap ON ap.callee = x.callee),
+s AS MATERIALIZED (SELECT x.*, ap.src, ap.n_class FROM reads x JOIN ap ON ap.callee = x.callee WHERE x.outside),
+e AS MATERIALIZED (SELECT src, {seen[1]}, file_id AS site_file, start_line AS site_line FROM i WHERE n_class IS NULL OR {_call_goes("i", "i.n_class")} OR (one AND object_kind >= 2)
+UNION SELECT src, {seen[1]}, file_id, start_line FROM r WHERE {_read_goes("r", "coalesce(r.n_class, '')")}
+UNION SELECT src, {seen[2]}, file_id, start_line FROM u WHERE n_class IS NULL OR (object_kind IN (0, 1) AND coalesce(caller_class_name = n_class, false)) OR (object_kind = 2 AND object_name = n_class) OR (one AND object_kind >= 2)
+UNION SELECT src, {seen[2]}, file_id, start_line FROM s WHERE n_class IS NULL OR (object_name IS DISTINCT FROM n_class AND coalesce(list_contains(regexp_split_to_array(object_type, '[^A-Za-z0-9_]+'), n_class), false)))"""
+
+
+_EDGE = "src, CAST(dst AS BIGINT) AS dst, dst_file, dst_name, dst_class, dst_start, dst_end, site_file, site_line"
+_CALLER = f"md5(caller) = md5('{FUNCTION}')"
+
+
+def _paths(tables: str, forward: bool) -> str:
+    """Maximal simple paths of up to three edges, as frames."""
+    frame = "coalesce({0} || '.', '') || {1} || '(' || string_split(f.path, '/')[-1] || ':' || {2} || ')'"
+    where = lambda p: " || chr(31) || ".join(f"coalesce(CAST({p}{c} AS VARCHAR), chr(0))" for c in ("file", "start", "end", "name", "class"))
+    spot = "'' || file_id || chr(31) || start_line || chr(31) || end_line || chr(31) || name || chr(31) || coalesce(class_name, chr(0))"
+    step = lambda d: f"w{d} AS MATERIALIZED (SELECT list_append(w.keys, x.dst) AS keys, list_append(w.frames, x.frame) AS frames, x.dst AS last FROM w{d - 1} w JOIN x ON x.src = w.last WHERE NOT list_contains(w.keys, x.dst))"
+    done = lambda d: f"SELECT keys, frames FROM w{d} w WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.src = w.last AND NOT list_contains(w.keys, x.dst))"
+    return f"""WITH RECURSIVE {tables},
+ks AS MATERIALIZED (SELECT id, {spot} AS key FROM cf_functions),
+x AS MATERIALIZED (SELECT DISTINCT ks.key AS src, CASE WHEN e.dst = -1 THEN '-1' || chr(31) ELSE '' END || {where("e.dst_")} AS dst, {frame.format("e.dst_class", "e.dst_name", "e.site_line")} AS frame FROM e JOIN ks ON ks.id = e.src JOIN cf_files f ON f.id = e.site_file),
+w0 AS MATERIALIZED (SELECT [ks.key] AS keys, [{frame.format("s.class_name", "s.name", "s.start_line")}] AS frames, ks.key AS last FROM cf_functions s JOIN ks ON ks.id = s.id JOIN cf_files f ON f.id = s.file_id WHERE md5(s.name) = md5('{FUNCTION}') AND md5(s.class_name) = md5('{CLASS}')),
+{", ".join(step(d) for d in (1, 2, 3))},
+z AS MATERIALIZED ({" UNION ".join(done(d) for d in (0, 1, 2))} UNION SELECT keys, frames FROM w3)
+SELECT CAST(len(frames) - 1 AS INTEGER) AS depth, array_to_string({"list_reverse(frames)" if forward else "frames"}, ',') AS stacktrace FROM z"""
+
+
+@_query(f"WITH RECURSIVE {_forward(_CALLER)} SELECT {_EDGE} FROM e")
 def forward_edges(f: Facts) -> DataFrame:
     return edges.forward_edges(f, _starts(f))
 
@@ -267,44 +363,43 @@ def forward_edges(f: Facts) -> DataFrame:
 @_query(f"""WITH {_DISTINCT_CALLS}, {_INNERMOST}
 SELECT i.fn_id AS src, g.id AS dst, i.start_line AS site_line FROM inner_calls i JOIN cf_functions g ON g.name = i.callee AND g.class_name = i.fn_class
 WHERE i.object_kind = 1 AND i.fn_class IS NOT DISTINCT FROM i.caller_class_name GROUP BY i.fn_id, g.id, i.start_line""")
-def forward_self_calls_all(f: Facts) -> DataFrame:
+def forward_self_calls(f: Facts) -> DataFrame:
     return _resolved(f, "object_name = 'self'")
 
 
-@_query(f"""WITH {_DISTINCT_CALLS}, {_INNERMOST},
-c AS (SELECT DISTINCT fn_id, file_id, fn_class, callee, start_line FROM inner_calls WHERE object_kind = 0 AND fn_class IS NOT DISTINCT FROM caller_class_name),
-m AS (SELECT c.*, g.id AS g_id, coalesce(g.class_name = c.fn_class, false) AS own, g.class_name IS NULL AS is_global, g.class_name IS NULL AND g.file_id = c.file_id AS here FROM c JOIN cf_functions g ON g.name = c.callee),
-w AS (SELECT *, max(CASE WHEN here THEN 1 ELSE 0 END) OVER (PARTITION BY fn_id, callee, start_line) AS any_here FROM m),
-p AS (SELECT *, own OR CASE WHEN any_here = 1 THEN here ELSE is_global END AS pick FROM w),
-q AS (SELECT *, max(CASE WHEN pick THEN 1 ELSE 0 END) OVER (PARTITION BY fn_id, callee, start_line) AS picked FROM p)
-SELECT DISTINCT fn_id AS src, g_id AS dst, start_line AS site_line FROM q WHERE pick OR picked = 0""")
-def forward_plain_calls_all(f: Facts) -> DataFrame:
+@_query(f"WITH RECURSIVE {_forward('object_kind = 0')} SELECT DISTINCT fn_id AS src, g_id AS dst, start_line AS site_line FROM v WHERE take AND g_id IS NOT NULL")
+def forward_plain_calls(f: Facts) -> DataFrame:
     return _resolved(f, "object_name IS NULL")
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_forward('object_kind = 4')} SELECT DISTINCT fn_id AS src, g_id AS dst, start_line AS site_line FROM v WHERE take AND g_id IS NOT NULL")
+def super_call_targets(f: Facts) -> DataFrame:
+    return _resolved(f, "object_name = 'super()'")
+
+
+@_query(f"WITH RECURSIVE {_forward('true')} SELECT {_EDGE} FROM e")
 def forward_edges_all(f: Facts) -> DataFrame:
     return edges.forward_edges(f, f.functions)
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_backward(_PICKED)} SELECT {_EDGE} FROM e")
 def backward_edges(f: Facts) -> DataFrame:
     return edges.backward_edges(f, _starts(f))
 
 
-@_query()
+@_query(_paths(_forward("true"), True))
 def graph_forward(f: Facts) -> DataFrame:
     return graph.find_paths(f, FUNCTION, CLASS).select("depth", _strings("stacktrace").alias("stacktrace"))
 
 
-@_query()
+@_query(_paths(_backward("true"), False))
 def graph_backward(f: Facts) -> DataFrame:
     return graph.find_paths(f, FUNCTION, CLASS, forward=False).select("depth", _strings("stacktrace").alias("stacktrace"))
 
 
-def _bound(work: Callable[[Facts], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: work(fixtures.facts(spark, sf_dir))
+def _bound(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _WORK[name](fixtures.facts(spark, sf_dir, _INSTEAD[name]))
 
 
-QUERIES = {name: _bound(work) for name, work in _WORK.items()}
-ORACLE_SQL = {name: fixtures.duckdb(sql) for name, sql in _SQL.items()}
+QUERIES = {name: _bound(name) for name in _WORK} | extraction.QUERIES
+ORACLE_SQL = {name: fixtures.duckdb(sql) for name, sql in _SQL.items()} | extraction.ORACLE_SQL

@@ -7,12 +7,13 @@ import json
 import os
 import sys
 from dataclasses import asdict
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import edges, graph, hierarchy, lookup
-from .plans.store import FactStore
+from .plans.store import SCHEMA_VERSION, FactStore
+from .sources import scan
 from .sources.languages import EXTENSIONS
 
 STORE = "factloom.db"
@@ -27,18 +28,11 @@ def _present(**values: object) -> dict:
     return {k: v for k, v in values.items() if v is not None}
 
 
-@lru_cache(maxsize=64)
-def _lines(path: str) -> list[str]:
-    try:
-        with open(path, encoding="utf-8", errors="replace") as file:
-            return file.readlines()
-    except OSError:
-        return []
-
-
-def _source(r: Row) -> str:
-    """The lines of a fact as its file has them now; empty if it can't be read."""
-    return "".join(_lines(r["path"])[r["start_line"] - 1 : r["end_line"]]).strip()
+def hydrated(found: DataFrame) -> DataFrame:
+    """``found`` (path, start_line, end_line) with ``source``: the lines as their files have them now, null if a file is gone."""
+    text = scan.with_content(found.select("path").distinct()).select("path", F.split(F.decode("content", "UTF-8"), "\n").alias("_lines"))
+    lines = F.slice("_lines", F.col("start_line").cast("int"), (F.col("end_line") - F.col("start_line") + 1).cast("int"))
+    return found.join(text, "path", "left").withColumn("source", F.trim(F.array_join(lines, "\n"))).drop("_lines")
 
 
 _VIEWS = {
@@ -47,7 +41,7 @@ _VIEWS = {
     "fields": lambda r, p: _present(name=r["name"], location=p, type=r["field_type"]),
     "imports": lambda r, p: {"module": r["module"], "location": p},
     "annotations": lambda r, p: {"name": r["name"], "source": r["signature"], "location": p, "target": {"name": r["target_name"], "kind": r["target_type"], "source": r["target_signature"]}},
-    "refs": lambda r, p: {"name": r["name"], "kind": r["node_type"], "location": p, "source": _source(r)},
+    "refs": lambda r, p: {"name": r["name"], "kind": r["node_type"], "location": p, "source": r["source"] or ""},
     "callers": lambda r, p: {"caller": r["caller"], "location": p},
     "callees": lambda r, p: {"callee": r["callee"], "location": p},
 }
@@ -98,7 +92,6 @@ def _ask(a: argparse.Namespace, facts: object) -> DataFrame:
 
 
 def run(spark: SparkSession, argv: list[str]) -> dict:
-    _lines.cache_clear()
     a = parser().parse_args(argv)
     root = os.path.realpath(a.path)
     store = FactStore(spark, a.store)
@@ -107,16 +100,24 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
             raise NotADirectoryError(root)
         report = store.sync(root, a.language)
         return {"meta": {"root": root, "files": report.candidates, "count": 1}, "results": [asdict(report)]}
-    if store.meta().get("root") != root:
+    meta = store.meta()
+    wanted = {a.language} if a.language else {kind for _, kind, *_ in scan.walk(root)}
+    if meta.get("root") != root or meta.get("schema_version") != SCHEMA_VERSION:
         store.sync(root, a.language)
+    else:
+        for language in sorted(wanted - set(meta["languages"])):
+            store.sync(root, language)
     facts = store.facts().of_language(a.language)
-    rows = _ask(a, facts).collect()
+    found = _ask(a, facts)
+    if a.command in ("refs", "definition"):
+        found = hydrated(found).orderBy("path", "start_line", "end_line")
+    rows = found.collect()
     if a.command == "graph":
         results = [{"depth": r["depth"], "stacktrace": r["stacktrace"]} for r in rows]
     elif a.command == "definition":
         if not rows:
             raise LookupError(f"Function '{a.function}' not found")
-        results = [_present(name=r["name"], location=_place(r, root), class_name=r["class_name"], source=_source(r) or None) for r in rows]
+        results = [_present(name=r["name"], location=_place(r, root), class_name=r["class_name"], source=r["source"] or None) for r in rows]
     else:
         results = [_VIEWS[a.command](r, _place(r, root)) for r in rows]
     files = len({r["path"] for r in rows}) if a.command == "definition" else lookup.file_count(facts).first()["n"]

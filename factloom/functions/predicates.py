@@ -95,7 +95,7 @@ def foreign_object(target: Column) -> Column:
 
 
 def type_tokens(text: Column) -> Column:
-    return F.split(text, r"[^A-Za-z0-9_]+")
+    return F.filter(F.split(text, r"[^A-Za-z0-9_]+"), lambda t: t != "")
 
 
 def last_segment(target: Column) -> Column:

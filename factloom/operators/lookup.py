@@ -56,10 +56,14 @@ def supers_of(facts: Facts) -> DataFrame:
     return facts.class_super_classes.groupBy("class_id").agg(F.array_sort(F.collect_list("super_class_name")).alias("super_classes"))
 
 
+def _listed_fields(fields: DataFrame) -> DataFrame:
+    listed = F.array_sort(F.collect_list(F.struct("start_line", "name")))
+    return fields.groupBy("file_id", "class_name").agg(F.transform(listed, lambda x: x["name"]).alias("fields"))
+
+
 def fields_by_class(facts: Facts) -> DataFrame:
     """(file_id, class_name, fields): names in order of their lines."""
-    listed = F.array_sort(F.collect_list(F.struct("start_line", "name")))
-    return facts.fields.groupBy("file_id", "class_name").agg(F.transform(listed, lambda x: x["name"]).alias("fields"))
+    return _listed_fields(facts.fields)
 
 
 def classes(facts: Facts, pattern: str = "") -> DataFrame:
@@ -67,11 +71,15 @@ def classes(facts: Facts, pattern: str = "") -> DataFrame:
 
 
 def class_rows(facts: Facts, found: DataFrame) -> DataFrame:
-    """Class facts with their methods, fields and super classes."""
+    """Class facts with their methods, fields and super classes; lists are gathered for the found classes only."""
     found = facts.located(found)
     empty = F.expr("CAST(array() AS array<string>)")
-    joined = found.join(methods_of(facts).withColumnRenamed("class_id", "_m"), found["id"] == F.col("_m"), "left").join(supers_of(facts).withColumnRenamed("class_id", "_s"), found["id"] == F.col("_s"), "left")
-    fields = fields_by_class(facts).select(F.col("file_id").alias("_f"), F.col("class_name").alias("_c"), "fields")
+    ids = found.select(F.col("id").alias("class_id"))
+    methods = facts.class_methods.join(ids, "class_id", "left_semi").groupBy(F.col("class_id").alias("_m")).agg(F.array_sort(F.collect_list("method_name")).alias("methods"))
+    supers = facts.class_super_classes.join(ids, "class_id", "left_semi").groupBy(F.col("class_id").alias("_s")).agg(F.array_sort(F.collect_list("super_class_name")).alias("super_classes"))
+    own = facts.fields.join(found.select("file_id", F.col("name").alias("class_name")), ["file_id", "class_name"], "left_semi")
+    fields = _listed_fields(own).select(F.col("file_id").alias("_f"), F.col("class_name").alias("_c"), "fields")
+    joined = found.join(methods, found["id"] == F.col("_m"), "left").join(supers, found["id"] == F.col("_s"), "left")
     joined = joined.join(fields, (found["file_id"] == F.col("_f")) & (found["name"] == F.col("_c")), "left")
     listed = [F.coalesce(c, empty).alias(c) for c in ("methods", "fields", "super_classes")]
     return joined.select("id", "file_id", "name", "kind", *PLACE, *listed).orderBy("path", "start_line")

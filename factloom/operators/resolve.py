@@ -7,20 +7,25 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import SELVES, attribute, foreign_object, last_segment, type_tokens
 from ..plans.facts import Facts
+from ..plans.lineage import cut
 from .hierarchy import direct_supers, file_ancestors
 
 CALL = ("file_id", "callee", "caller", "caller_class_name", "object_name", "start_line", "end_line")
 
 
-def distinct_calls(facts: Facts) -> DataFrame:
-    """Calls without exact repeats, of the chosen language, each with an id."""
-    return facts.scoped(facts.calls.select(*CALL)).distinct().withColumn("call_id", F.xxhash64(*CALL))
+def _of_callers(rows: DataFrame, callers: DataFrame | None) -> DataFrame:
+    return rows if callers is None else rows.join(callers.select("file_id", "caller").distinct(), ["file_id", "caller"], "left_semi")
 
 
-def property_reads(facts: Facts) -> DataFrame:
+def distinct_calls(facts: Facts, callers: DataFrame | None = None) -> DataFrame:
+    """Calls without exact repeats, of the chosen language (and of ``callers``: file_id, caller), each with an id."""
+    return _of_callers(facts.scoped(facts.calls.select(*CALL)), callers).distinct().withColumn("call_id", F.xxhash64(*CALL))
+
+
+def property_reads(facts: Facts, callers: DataFrame | None = None) -> DataFrame:
     """Property reads in the shape of calls; module level has a null caller."""
     r = facts.scoped(facts.python_property_callers).withColumn("caller", F.when(F.col("caller") != "<module>", F.col("caller")))
-    r = r.select("file_id", F.col("property_name").alias("callee"), "caller", "caller_class_name", "object_name", "object_type", "start_line", "end_line").distinct()
+    r = _of_callers(r, callers).select("file_id", F.col("property_name").alias("callee"), "caller", "caller_class_name", "object_name", "object_type", "start_line", "end_line").distinct()
     return r.withColumn("call_id", F.xxhash64(*CALL, "object_type"))
 
 
@@ -82,7 +87,7 @@ def property_matches(target: Column, own_class: str = "fn_class") -> Column:
 
 
 def with_ancestors(rows: DataFrame, facts: Facts, class_column: str = "fn_class") -> DataFrame:
-    a = file_ancestors(facts).groupBy(F.col("file_id").alias("_af"), F.col("class_name").alias("_ac")).agg(F.collect_set("ancestor").alias("ancestors"))
+    a = file_ancestors(facts, rows.select("file_id")).groupBy(F.col("file_id").alias("_af"), F.col("class_name").alias("_ac")).agg(F.collect_set("ancestor").alias("ancestors"))
     return rows.join(a, (rows["file_id"] == a["_af"]) & (rows[class_column] == a["_ac"]), "left").drop("_af", "_ac")
 
 
@@ -92,33 +97,60 @@ def method_owners(facts: Facts) -> DataFrame:
     return m.select("name", F.when(F.col("a") == F.col("b"), F.col("a")).alias("only_class"))
 
 
+def _targets(functions: DataFrame) -> DataFrame:
+    return functions.select(F.col("id").alias("g_id"), F.col("file_id").alias("g_file"), F.col("name").alias("g_name"), F.col("class_name").alias("g_class"), F.col("start_line").alias("g_start"), F.col("end_line").alias("g_end"))
+
+
+def _outside(rows: DataFrame) -> DataFrame:
+    """``rows`` with themselves as targets that no fact knows: the text of the call, g_id -1."""
+    text = F.coalesce(F.concat("object_name", F.lit("."), "callee"), F.col("callee"))
+    return rows.withColumns({"g_id": F.lit(-1).cast("long"), "g_file": F.col("file_id"), "g_name": text, "g_class": F.lit(None).cast("string"), "g_start": F.col("start_line"), "g_end": F.col("end_line")})
+
+
 def resolve_forward(calls: DataFrame, facts: Facts) -> DataFrame:
     """Calls (after :func:`with_receiver`) with the functions that they can mean: columns g_*; an external target has g_id -1.
 
-    All candidates of a call's name are marked, the marks are gathered over each call, and the rule of the
-    call's kind of object picks among them; without a pick the rule's fallback holds.
+    Each kind of object is joined by what its rule needs: the name with the classes that the object can be,
+    with the caller's file, or with no class; only what a rule lets through meets the functions of a name.
+    Calls without a match have their kind's fallback: all methods of a name that one class owns, or all
+    functions of the name.
     """
-    scoped = facts.scoped(facts.functions)
-    g = scoped.select(F.col("id").alias("g_id"), F.col("file_id").alias("g_file"), F.col("name").alias("g_name"), F.col("class_name").alias("g_class"), F.col("start_line").alias("g_start"), F.col("end_line").alias("g_end"))
-    obj = F.col("object_name")
-    rows = calls.join(g, F.col("callee") == F.col("g_name"), "left")
-    kind = F.when(obj.isNull(), "none").when(obj == "super()", "super").when(obj.isin(*SELVES), "self").otherwise("other")
-    own = F.coalesce(F.col("g_class") == F.col("fn_class"), F.lit(False))
-    rows = rows.withColumn("_kind", kind).withColumn("_own", own).withColumn("_global", F.col("g_id").isNotNull() & F.col("g_class").isNull()).withColumn("_here", F.col("_global") & (F.col("g_file") == F.col("file_id")))
-    rows = rows.withColumn("_typed", F.coalesce(F.col("g_class") == obj, F.lit(False)) | types_match(F.col("g_class")))
-    each = Window.partitionBy("call_id", "fn_id")
-    rows = rows.withColumn("_any_here", F.max("_here").over(each)).withColumn("_low", F.min("g_class").over(each)).withColumn("_high", F.max("g_class").over(each))
-    pick = (
-        F.when(F.col("_kind") == "super", _holds("supers", F.col("g_class"))).when(F.col("_kind") == "self", F.col("_own")).when(F.col("_kind") == "other", F.col("_typed"))
-        .otherwise(F.col("_own") | F.when(F.col("_any_here"), F.col("_here")).otherwise(F.col("_global")))
-    )
-    rows = rows.withColumn("_pick", F.coalesce(pick, F.lit(False))).withColumn("_picked", F.max("_pick").over(each))
-    fallback = F.when(F.col("_kind") == "other", F.col("g_class").isNotNull() & (F.col("_low") == F.col("_high"))).when(F.col("_kind") == "none", F.col("g_id").isNotNull()).otherwise(F.lit(False))
-    rows = rows.withColumn("_take", F.when(F.col("_picked"), F.col("_pick")).otherwise(F.coalesce(fallback, F.lit(False)))).withColumn("_taken", F.max("_take").over(each)).withColumn("_one", F.row_number().over(each.orderBy("g_id")))
-    rows = rows.filter(F.col("_take") | (~F.col("_taken") & (F.col("_one") == 1)))
-    outside = ~F.col("_taken")
-    name = F.when(outside, F.coalesce(F.concat(obj, F.lit("."), F.col("callee")), F.col("callee"))).otherwise(F.col("g_name"))
-    rows = rows.withColumn("g_name", name).withColumn("g_id", F.when(outside, F.lit(-1)).otherwise(F.col("g_id")))
-    for c, v in (("g_class", F.lit(None)), ("g_file", F.col("file_id")), ("g_start", F.col("start_line")), ("g_end", F.col("end_line"))):
-        rows = rows.withColumn(c, F.when(outside, v).otherwise(F.col(c)))
-    return rows.drop("_kind", "_own", "_global", "_here", "_typed", "_any_here", "_low", "_high", "_pick", "_picked", "_take", "_taken", "_one")
+    calls = cut(calls.withColumn("_fn", F.coalesce("fn_id", F.lit(-1))))  # a call outside of functions has no fn_id
+    g = _targets(facts.scoped(facts.functions))
+    free = g.filter("g_class IS NULL")
+    obj, named = F.col("object_name"), F.col("callee") == F.col("g_name")
+    own = obj.isNull() | obj.isin(*SELVES)
+    none = F.expr("CAST(array() AS array<string>)")
+    other = F.array_union(F.array_union(F.array(obj), F.coalesce("field_tokens", none)), F.coalesce("param_tokens", none))
+    classes = F.when(own, F.array("fn_class")).when(obj == "super()", F.coalesce("supers", none)).otherwise(other)
+    in_class = calls.withColumn("_class", F.explode(F.array_distinct(classes))).filter("_class IS NOT NULL")
+    found = in_class.join(g, named & (F.col("_class") == F.col("g_class"))).drop("_class")
+    plain = calls.filter(obj.isNull())
+    here = free.select(F.col("g_name").alias("_n"), F.col("g_file").alias("_f"), F.lit(True).alias("_here")).distinct()
+    plain = plain.join(here, (F.col("callee") == F.col("_n")) & (F.col("file_id") == F.col("_f")), "left").drop("_n", "_f")
+    near = plain.filter("_here").drop("_here").join(free, named & (F.col("file_id") == F.col("g_file")))
+    far = plain.filter("_here IS NULL").drop("_here").join(free, named)
+    found = cut(found.unionByName(near).unionByName(far))
+    rest = calls.join(found.select("call_id", "_fn").distinct(), ["call_id", "_fn"], "left_anti")
+    owners = method_owners(facts).filter("only_class IS NOT NULL").select(F.col("name").alias("_n"))
+    one_owner = rest.filter(foreign_object(obj) & (obj != "super()")).join(owners, F.col("callee") == F.col("_n"), "left_semi").join(g.filter("g_class IS NOT NULL"), named)
+    every = rest.filter(obj.isNull()).join(g, named)
+    late = cut(one_owner.unionByName(every))
+    outside = rest.join(late.select("call_id", "_fn").distinct(), ["call_id", "_fn"], "left_anti")
+    return found.unionByName(late).unionByName(_outside(outside)).drop("_fn")
+
+
+def property_functions(facts: Facts) -> DataFrame:
+    """Functions that are properties: by name and class, without a class by name."""
+    p = facts.scoped(facts.python_properties).select(F.col("property_name").alias("_p"), F.col("class_name").alias("_c")).distinct()
+    f = facts.scoped(facts.functions)
+    return f.join(p, (f["name"] == F.col("_p")) & (f["class_name"].isNull() | (f["class_name"] == F.col("_c"))), "left_semi")
+
+
+def resolve_properties(reads: DataFrame, facts: Facts) -> DataFrame:
+    """Property reads (with fn_id, fn_class) with the properties that they can mean, in the columns of :func:`resolve_forward`."""
+    reads = cut(with_ancestors(with_receiver(reads, facts), facts))
+    g = _targets(property_functions(facts))
+    found = cut(reads.join(g, F.col("callee") == F.col("g_name")).filter(property_matches(F.coalesce("g_class", F.lit("")))))
+    rest = reads.join(found.select("call_id", "fn_id").distinct(), ["call_id", "fn_id"], "left_anti")
+    return found.unionByName(_outside(rest))

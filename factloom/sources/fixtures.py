@@ -13,9 +13,10 @@ from ..plans.facts import Facts
 VIEWS = {
     "cf_files": "SELECT doc_id AS id, concat(source,'/doc',CAST(doc_id AS VARCHAR(20)),'.',lang) AS path, lang AS language, doc_id*1000 AS mtime_nanos, n_chars AS size_bytes, {HASH}(text{HASH_ARG}) AS content_hash FROM {documents}",
     "cf_functions": "SELECT p_partkey AS id, p_partkey % 200 AS file_id, replace(p_name,' ','_') AS name, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE replace(p_brand,'#','_') END AS class_name, CAST(floor(p_partkey/200.0)*10+1 AS BIGINT) AS start_line, CAST(floor(p_partkey/200.0)*10+10 AS BIGINT) AS end_line FROM {part}",
-    "cf_function_params": "SELECT p_partkey AS function_id, concat('arg',CAST(p_size % 4 AS VARCHAR(20))) AS name, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE concat('Optional[',replace(p_brand,'#','_'),']') END AS param_type, 0 AS position FROM {part}",
-    "cf_classes": "SELECT CAST(r_regionkey AS BIGINT) AS id, r_regionkey % 200 AS file_id, r_name AS name, 'interface' AS kind, CAST(1 AS BIGINT) AS start_line, CAST(9 AS BIGINT) AS end_line FROM {region} UNION ALL SELECT 100+n_nationkey, (100+n_nationkey) % 200, n_name, 'abstract_class', 11, 19 FROM {nation} UNION ALL SELECT 1000+s_suppkey, (1000+s_suppkey) % 200, s_name, 'class', 21, 29 FROM {supplier} UNION ALL SELECT 1000000+c_custkey, (1000000+c_custkey) % 200, c_name, 'class', 31, 39 FROM {customer}",
-    "cf_class_super_classes": "SELECT CAST(100+n_nationkey AS BIGINT) AS class_id, r_name AS super_class_name FROM {nation} JOIN {region} ON n_regionkey=r_regionkey UNION ALL SELECT 1000+s_suppkey, n_name FROM {supplier} JOIN {nation} ON s_nationkey=n_nationkey UNION ALL SELECT 1000000+c_custkey, n_name FROM {customer} JOIN {nation} ON c_nationkey=n_nationkey",
+    "cf_sized_functions": "SELECT p_partkey AS id, p_partkey % 200 AS file_id, concat(replace(p_name,' ','_'),'_',CAST(p_size AS VARCHAR(20))) AS name, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE replace(p_brand,'#','_') END AS class_name, CAST(1 AS BIGINT) AS start_line, CAST(2 AS BIGINT) AS end_line FROM {part}",
+    "cf_function_params": "SELECT p_partkey AS function_id, concat('arg',CAST(p_size % 4 AS VARCHAR(20))) AS name, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE concat('Optional[',replace(p_brand,'#','_'),']') END AS param_type, 0 AS position FROM {part} UNION ALL SELECT p_partkey, concat('opt',CAST(p_size % 3 AS VARCHAR(20))), CASE WHEN p_size % 2 = 0 THEN 'int' ELSE NULL END, 1 FROM {part}",
+    "cf_classes": "SELECT CAST(r_regionkey AS BIGINT) AS id, r_regionkey % 200 AS file_id, r_name AS name, 'interface' AS kind, CAST(1 AS BIGINT) AS start_line, CAST(9 AS BIGINT) AS end_line FROM {region} UNION ALL SELECT 100+n_nationkey, (100+n_nationkey) % 200, n_name, 'abstract_class', 11, 19 FROM {nation} UNION ALL SELECT 1000+s_suppkey, (1000+s_suppkey) % 200, s_name, 'class', 21, 29 FROM {supplier} UNION ALL SELECT 1000000+c_custkey, (1000000+c_custkey) % 200, c_name, 'class', 31, 39 FROM {customer} UNION ALL SELECT 2000000+min(p_partkey), p_partkey % 200, replace(p_brand,'#','_'), 'class', 41, 49 FROM {part} GROUP BY p_partkey % 200, p_brand",
+    "cf_class_super_classes": "SELECT CAST(100+n_nationkey AS BIGINT) AS class_id, r_name AS super_class_name FROM {nation} JOIN {region} ON n_regionkey=r_regionkey UNION ALL SELECT 1000+s_suppkey, n_name FROM {supplier} JOIN {nation} ON s_nationkey=n_nationkey UNION ALL SELECT 1000000+c_custkey, n_name FROM {customer} JOIN {nation} ON c_nationkey=n_nationkey UNION ALL SELECT 1000+s_suppkey, concat('Mixin_',CAST(s_suppkey % 7 AS VARCHAR(20))) FROM {supplier} UNION ALL SELECT 2000000+min(p_partkey), concat('Brand_',CAST(CASE WHEN CAST(substr(p_brand,7) AS BIGINT) % 5 <> 0 THEN CAST(substr(p_brand,7) AS BIGINT) - CAST(substr(p_brand,7) AS BIGINT) % 5 WHEN CAST(substr(p_brand,7) AS BIGINT) = 5 THEN 25 ELSE 5 END AS VARCHAR(20))) FROM {part} GROUP BY p_partkey % 200, p_brand",
     "cf_class_methods": "SELECT CAST(1000000+o_custkey AS BIGINT) AS class_id, concat('m_',o_orderpriority) AS method_name FROM {orders}",
     "cf_fields": "SELECT p_partkey AS id, p_partkey % 200 AS file_id, replace(p_brand,'#','_') AS class_name, concat('attr',CAST(p_size % 6 AS VARCHAR(20))) AS name, CASE WHEN p_size % 2 = 0 THEN concat('Map<',p_type,', Brand_',CAST(p_size % 25 AS VARCHAR(20)),'>') ELSE NULL END AS field_type, CAST(p_size AS BIGINT) AS start_line, CAST(p_size AS BIGINT) AS end_line FROM {part}",
     "cf_calls": "SELECT f.file_id AS file_id, g.name AS callee, CASE WHEN l_quantity >= 48 THEN NULL ELSE f.name END AS caller, CASE WHEN l_quantity >= 48 THEN NULL ELSE f.class_name END AS caller_class_name, CASE l_linenumber % 5 WHEN 0 THEN NULL WHEN 1 THEN 'self' WHEN 2 THEN coalesce(g.class_name,'mod') WHEN 3 THEN 'self.attr2' ELSE 'super()' END AS object_name, l_linenumber % 5 AS object_kind, f.start_line + l_linenumber AS start_line, f.start_line + l_linenumber AS end_line FROM {lineitem} JOIN cf_functions f ON f.id = l_partkey JOIN cf_functions g ON g.id = (l_partkey*7+l_linenumber) % (SELECT count(*) FROM {part})",
@@ -23,7 +24,7 @@ VIEWS = {
     "cf_refs": "SELECT doc_id AS file_id, name FROM (SELECT doc_id, {EXPLODE}({ALL}(text,'[A-Za-z_][A-Za-z0-9_]*',0)) AS name FROM {documents}) t",
     "cf_annotations": "SELECT event_id AS id, user_id % 200 AS file_id, event_type AS name, concat('@',event_type,'(',props,')') AS signature, event_id AS start_line, event_id AS end_line, concat('u',CAST(user_id AS VARCHAR(20))) AS target_name, CASE event_id % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'method' ELSE 'function' END AS target_type FROM {events}",
     "cf_python_properties": "SELECT file_id, name AS property_name, class_name FROM cf_functions WHERE id % 5 = 1",
-    "cf_python_property_callers": "SELECT f.file_id, g.name AS property_name, CASE WHEN l_quantity >= 48 THEN '<module>' ELSE f.name END AS caller, CASE WHEN l_quantity >= 48 THEN NULL ELSE f.class_name END AS caller_class_name, CASE l_linenumber % 4 WHEN 0 THEN 'self' WHEN 1 THEN 'arg2' WHEN 2 THEN 'self.attr2' ELSE g.class_name END AS object_name, CASE WHEN l_quantity >= 48 THEN g.class_name ELSE NULL END AS object_type, f.start_line + l_linenumber AS start_line, f.start_line + l_linenumber AS end_line FROM {lineitem} JOIN cf_functions f ON f.id = l_partkey JOIN cf_functions g ON g.id = (l_partkey*3+l_linenumber) % (SELECT count(*) FROM {part}) WHERE g.id % 5 = 1",
+    "cf_python_property_callers": "SELECT f.file_id, g.name AS property_name, CASE WHEN l_quantity >= 48 THEN '<module>' ELSE f.name END AS caller, CASE WHEN l_quantity >= 48 THEN NULL ELSE f.class_name END AS caller_class_name, CASE l_linenumber % 4 WHEN 0 THEN 'self' WHEN 1 THEN 'arg2' WHEN 2 THEN 'self.attr2' ELSE g.class_name END AS object_name, l_linenumber % 4 AS object_kind, CASE WHEN l_quantity >= 48 THEN g.class_name ELSE NULL END AS object_type, f.start_line + l_linenumber AS start_line, f.start_line + l_linenumber AS end_line FROM {lineitem} JOIN cf_functions f ON f.id = l_partkey JOIN cf_functions g ON g.id = (l_partkey*3+l_linenumber) % (SELECT count(*) FROM {part}) WHERE g.id % 5 = 1",
 }
 BASES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
@@ -57,5 +58,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(f"{with_clause(name, fill)} SELECT * FROM {name}")
 
 
-def facts(spark: SparkSession, sf_dir: str) -> Facts:
-    return Facts(lambda name: view(spark, sf_dir, f"cf_{name}"))
+def facts(spark: SparkSession, sf_dir: str, instead: dict[str, str] | None = None) -> Facts:
+    """The views as fact tables; ``instead`` names other views for some of them."""
+    return Facts(lambda name: view(spark, sf_dir, f"cf_{(instead or {}).get(name, name)}"))

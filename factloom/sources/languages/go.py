@@ -2,7 +2,7 @@
 
 Lines count from 1, columns from 0 in UTF-8 bytes. Methods belong to the base type of their receiver,
 and so do the calls in their bodies. Names of references have the kinds ``package_identifier``,
-``field_identifier`` (after a dot), ``type_identifier`` (where a type is declared) and ``identifier``
+``field_identifier`` (after a dot, members, methods), ``type_identifier`` (in declarations) and ``identifier``
 (all others: a lexer does not tell the use of a type from that of a value).
 """
 
@@ -159,17 +159,65 @@ def _imports(f: _File) -> list[Row]:
     for k, t in enumerate(f.tokens):
         if t.kind == "keyword" and t.text == "import":
             stop = f.pair.get(k + 1) if f.at(k + 1) == "(" else next((j for j in range(k, len(f.tokens)) if f.kind(j) == "line"), len(f.tokens))
-            out += [{"module": f.at(j)[1:-1], **f.span(j, j)} for j in range(k, stop or k) if f.kind(j) == "text"]
+            out += [{"module": f.at(j)[1:-1] if f.at(j)[0] == '"' else f.at(j), **f.span(j, j)} for j in range(k, stop or k) if f.kind(j) == "text"]
     return out
 
 
+def _typed(f: _File, kinds: dict[int, str], a: int, b: int) -> None:
+    """Mark the names of a type: packages before a dot, types elsewhere."""
+    for k in range(a, b):
+        if f.kind(k) == "name":
+            kinds.setdefault(k, "package_identifier" if f.at(k + 1) == "." else "type_identifier")
+
+
+def _kinds(f: _File) -> dict[int, str]:
+    """Kinds of the names in declarations: members, receivers, parameters."""
+    kinds: dict[int, str] = {}
+    for _, last, brace, _, kind in _types(f):
+        for x, y in f.pieces(brace + 1, last, ("\n", ";")):
+            if kind == "interface":
+                if f.kind(x) == "name" and f.at(x + 1) == "(":
+                    kinds[x] = "field_identifier"
+                else:
+                    _typed(f, kinds, x, y)
+                continue
+            names = [x]
+            while f.at(names[-1] + 1) == ",":
+                names.append(names[-1] + 2)
+            embedded = f.at(x) == "*" or f.kind(x + 1) != "name" and len(names) == 1 and f.at(x + 1) not in ("[", "*", "map", "func", "chan", "struct", "interface", "(")
+            if not embedded:
+                kinds |= dict.fromkeys(names, "field_identifier")
+            _typed(f, kinds, x if embedded else names[-1] + 1, y)
+    for k, t in enumerate(f.tokens):
+        if t.text != "func" or t.kind != "keyword":
+            continue
+        at = k + 1
+        if f.at(at) == "(" and f.kind(f.pair.get(at, at) + 1) == "name" and at in f.pair:
+            close = f.pair[at]
+            if f.kind(at + 1) == "name" and close - at > 2 and f.at(at + 2) not in (".", "["):
+                kinds.setdefault(at + 1, "identifier")
+            _typed(f, kinds, at + 1, close)
+            kinds[close + 1] = "field_identifier"
+            at = close + 1
+        at += f.kind(at) == "name"
+        if f.at(at) == "[":
+            at = f.pair.get(at, at) + 1
+        if f.at(at) == "(" and at in f.pair:
+            parts = f.pieces(at + 1, f.pair[at], (",",))
+            named = any(y - x > 1 and f.kind(x) == "name" and f.at(x + 1) not in (".", "[") for x, y in parts)
+            for x, y in parts:
+                if named and f.kind(x) == "name":
+                    kinds.setdefault(x, "identifier")
+                _typed(f, kinds, x, y)
+    return kinds
+
+
 def _refs(f: _File) -> list[Row]:
-    out = []
+    out, kinds = [], _kinds(f)
     for k, t in enumerate(f.tokens):
         if t.kind == "name":
-            before = f.at(k - 1)
-            kind = {"package": "package_identifier", ".": "field_identifier", "type": "type_identifier"}.get(before, "identifier")
-            out.append(f.place(k, kind))
+            kind = {"package": "package_identifier", ".": "field_identifier", "type": "type_identifier"}.get(f.at(k - 1), "identifier")
+            out.append(f.place(k, kinds.get(k, kind)))
     return out
 
 

@@ -613,7 +613,7 @@ def _calls(f: _File) -> list[Row]:
                 first = _operand(f, k - 1)
                 target = f.source(first, k - 1)
                 if f.at(first) != "new" and (first == 0 or f.at(first - 1) != "new"):
-                    add(first, f.pair[bracket], word, "super()" if target == "super" else target)
+                    add(first, f.pair[bracket], word, target)
                 elif f.at(first) == "new" and ")" in target:
                     add(first, f.pair[bracket], word, target)
             elif f.at(k - 1) != "new" and word[0] != "#" and k not in f.types:
@@ -640,12 +640,29 @@ def _imports(f: _File) -> list[Row]:
     return sorted(out, key=lambda r: (r["start_line"], r["end_line"]))
 
 
+def _declared(f: _File) -> set[int]:
+    """Names of types where TypeScript declares, implements or (an interface) extends them."""
+    out: set[int] = set()
+    for k, t in enumerate(f.tokens):
+        if f.at(k - 1) in (".", "?."):
+            continue
+        if t.text in ("class", "interface") or t.text == "type" and f.at(k + 2) in ("=", "<"):
+            out.add(k + 1)
+        if t.text == "implements" or t.text == "extends" and f.at(k - 2) == "interface":
+            j = k + 1
+            while j < len(f.tokens) and f.at(j) not in ("{", ";"):
+                out.add(j)
+                j += 1
+    return out
+
+
 def _refs(f: _File) -> list[Row]:
     out = []
+    types = f.types if f.language == "javascript" else f.types | _declared(f)
     for k, t in enumerate(f.tokens):
         if t.kind == "name":
             key = f.at(k + 1) == ":" and f.at(k - 1) in ("{", ",") or k in f.members
-            kind = "private_property_identifier" if t.text[0] == "#" else "property_identifier" if f.at(k - 1) in (".", "?.") or key else "type_identifier" if k in f.types else "identifier"
+            kind = "private_property_identifier" if t.text[0] == "#" else "property_identifier" if f.at(k - 1) in (".", "?.") or key else "type_identifier" if k in types else "identifier"
             out.append(f.place(k, kind))
     return out
 

@@ -1,7 +1,7 @@
 """Facts of a Python file, from the standard library's own parser.
 
-Lines count from 1, columns from 0 in UTF-8 bytes; definitions begin after their decorators. A file
-with a syntax error gives references only.
+Lines count from 1, columns from 0 in UTF-8 bytes; definitions begin after their decorators. In a file
+with syntax errors the lines where the parser stops are left out, one after the other, and the rest is read.
 """
 
 from __future__ import annotations
@@ -25,10 +25,30 @@ def _dotted(node: ast.AST) -> str | None:
     return None
 
 
+def _parsed(text: str) -> tuple[ast.Module, str]:
+    """The tree of a text and the text that it is of; where the parser stops, the line becomes ``pass`` at its indentation, then nothing, and lines keep their numbers."""
+    lines, tried = text.split("\n"), {}
+    while True:
+        try:
+            return ast.parse(left := "\n".join(lines)), left
+        except SyntaxError as broken:
+            k = min(max(0, (broken.lineno or 1) - 1), len(lines) - 1)
+            while tried.get(k) == 2 or k not in tried and not lines[k].strip():  # spent or empty: the trouble began before
+                tried[k] = 2
+                k -= 1
+                if k < 0:
+                    raise
+            tried[k] = tried.get(k, 0) + 1
+            old = lines[k]
+            lines[k] = old[: len(old) - len(old.lstrip())] + "pass" if tried[k] == 1 and old.strip() != "pass" else ""
+            if not lines[k]:
+                tried[k] = 2
+
+
 class _File:
     def __init__(self, text: str) -> None:
-        self.text, self.lines = text, text.splitlines(keepends=True)
-        self.tree = ast.parse(text)
+        self.tree, self.text = _parsed(text)
+        self.lines = self.text.splitlines(keepends=True)
         self.up: dict[ast.AST, ast.AST] = {c: p for p in ast.walk(self.tree) for c in ast.iter_child_nodes(p)}
 
     def source(self, node: ast.AST) -> str:
@@ -135,7 +155,8 @@ def _annotations(f: _File) -> list[Row]:
         first = min([body.lineno, *[d.lineno for d in getattr(body, "decorator_list", [])]])
         header = "".join(f.lines[node.lineno - 1 : max(node.lineno, first - 1)]).strip()
         for d in node.decorator_list:
-            name = _dotted(d.func if isinstance(d, ast.Call) else d)
+            named = d.func if isinstance(d, ast.Call) else d
+            name = f.source(named) if isinstance(d, ast.Call) or isinstance(named, (ast.Name, ast.Attribute)) else None
             if name:
                 signature = "@" + f.source(d)
                 out.append({"name": name, "signature": signature, **f.span(d), "target_name": node.name, "target_type": kind, "target_signature": f"{signature}\n{header}"})
@@ -151,10 +172,11 @@ def _refs(text: str) -> list[Row]:
     def add(kind: str, name: str, a: tuple[int, int], b: tuple[int, int]) -> None:
         out.append({"name": name, "node_type": kind, "start_line": a[0], "end_line": b[0], "start_column": width(*a), "end_column": width(*b)})
 
+    tokens: list[tokenize.TokenInfo] = []
     try:
-        tokens = list(tokenize.generate_tokens(io.StringIO(text).readline))
-    except (tokenize.TokenError, SyntaxError, IndentationError):
-        tokens = []
+        tokens.extend(tokenize.generate_tokens(io.StringIO(text).readline))
+    except (tokenize.TokenError, SyntaxError):
+        pass  # what stands before counts
     for k, t in enumerate(tokens):
         begins = k == 0 or tokens[k - 1].type in (tokenize.NEWLINE, tokenize.NL, tokenize.INDENT, tokenize.DEDENT, tokenize.ENCODING)
         if begins and t.type == tokenize.NAME and t.string in ("import", "from"):
@@ -237,6 +259,7 @@ def snapshot(text: str) -> dict[str, list[Row]]:
     except (SyntaxError, ValueError, RecursionError):
         return {"refs": _refs(text)}
     functions, classes, fields = [], [], []
+    same_name: dict[str, list[ast.ClassDef]] = {}
     for node in ast.walk(f.tree):
         if isinstance(node, _DEF):
             cls = f.around(node)[1]
@@ -245,12 +268,15 @@ def snapshot(text: str) -> dict[str, list[Row]]:
             methods = [x.name for x in _inside(node) if isinstance(x, _DEF)]
             supers = [d for b in node.bases if (d := _dotted(b))]
             classes.append({"name": node.name, "kind": "class", **f.span(node), "methods": methods, "super_classes": supers})
-            fields += _fields(f, node)
+            same_name.setdefault(node.name, []).append(node)
+    for nodes in same_name.values():  # classes of one name all have the fields of the smallest of them, the first of equal ones
+        smallest = min(nodes, key=lambda n: (len(f.source(n).encode()), n.lineno, n.col_offset))
+        fields += _fields(f, smallest) * len(nodes)
     by_place = lambda r: (r["start_line"], r["end_line"])
     functions.sort(key=by_place)
     classes.sort(key=by_place)
     properties = _properties(f)
     return {
-        "functions": functions, "classes": classes, "fields": fields, "calls": _calls(f), "imports": _imports(f), "annotations": _annotations(f), "refs": _refs(text),
+        "functions": functions, "classes": classes, "fields": fields, "calls": _calls(f), "imports": _imports(f), "annotations": _annotations(f), "refs": _refs(f.text),
         "python_properties": properties, "python_property_callers": _property_reads(f, properties, classes, fields),
     }

@@ -3,6 +3,7 @@
 import os
 
 from factloom import cli
+from factloom.plans import store as store_module
 from factloom.plans.store import FactStore
 from factloom.sources.languages.python import snapshot
 from factloom.sources.scan import walk
@@ -51,7 +52,16 @@ def test_python_snapshot():
     assert [i["module"] for i in s["imports"]] == ["os.path", ".util"]
     assert s["python_properties"] == [{"property_name": "label", "class_name": "Base"}]
     assert [(r["caller"], r["caller_class_name"]) for r in s["python_property_callers"]] == [("run", "Base"), ("step", "Child")]
-    assert snapshot("def broken(:\n  pass").keys() == {"refs"}
+    broken = snapshot("def broken(:\n  pass\n\ndef whole(a):\n    return work(a)\n\nclass C:\n    x = (1\n    def m(self):\n        pass\n")
+    assert [f["name"] for f in broken["functions"]][:1] == ["whole"] and [c["callee"] for c in broken["calls"]] == ["work"] and broken["refs"]
+    for cut in range(0, len(BASE), 5):
+        snapshot(BASE[:cut])
+        snapshot(BASE[cut:])
+
+
+def test_classes_of_one_name_share_the_fields_of_the_smallest():
+    s = snapshot("if a:\n    class A:\n        x = 1\n        y = 2\nelse:\n    class A:\n        z = 3\n")
+    assert [(f["class_name"], f["name"]) for f in s["fields"]] == [("A", "z"), ("A", "z")]
 
 
 def test_walk_honours_ignore_files_and_inodes(tmp_path):
@@ -66,7 +76,16 @@ def test_walk_honours_ignore_files_and_inodes(tmp_path):
     assert [k for _, k, *_ in walk(str(tmp_path), "go")] == ["go"]
 
 
-def test_commands_and_incremental_sync(spark, tmp_path):
+def test_ignore_rules_know_folders(tmp_path):
+    for name in ("src/a.py", "src/b/c.py", "a/x/b/y.py", "a/b/z.py", "logs/q.py", "keep/[x].py", "docs/d.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    (tmp_path / ".gitignore").write_text("src/*.py\na/**/b\nlogs/\n/docs/**\n")
+    assert [os.path.relpath(p, tmp_path) for p, *_ in walk(str(tmp_path))] == ["keep/[x].py", "src/b/c.py"]
+
+
+def test_commands_and_incremental_sync(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "MOST_PARTS", 3)
     tree, store = tmp_path / "tree", str(tmp_path / "store")
     tree.mkdir()
     (tree / "base.py").write_text(BASE)
@@ -88,6 +107,29 @@ def test_commands_and_incremental_sync(spark, tmp_path):
     report = ask("index", str(tree))[0]
     assert (report["indexed"], report["reparsed"]) == (2, 2)
     assert sorted(r["name"] for r in FactStore(spark, store).facts().functions.collect()) == ["fresh", "helper2"]
+    for k in range(3):  # parts pile up, then are written as one
+        (tree / f"more{k}.py").write_text(f"class C{k}:\n    def m{k}(self, a: int):\n        pass\n")
+        assert ask("index", str(tree))[0]["reparsed"] == 1
+    kept = FactStore(spark, store)
+    assert len(kept.meta()["parts"]) <= 3
+    facts = kept.facts()
+    assert sorted(r["name"] for r in facts.functions.collect()) == sorted(["fresh", "helper2", *(f"m{k}" for k in range(3))])
+    assert facts.function_params.count() == 6 and facts.class_methods.count() == 3
+    (tree / "more1.py").unlink()
+    assert ask("index", str(tree))[0]["reparsed"] == 0 and kept.facts().function_params.count() == 4
+    (tree / "new.go").write_text("package x\nfunc late() {}\n")
+    assert [f["name"] for f in ask("functions", str(tree), "-l", "go")] == ["late"]  # a language that the index lacks is read first
+
+
+def test_property_reads_are_edges(spark, tmp_path):
+    tree, store = tmp_path / "tree", str(tmp_path / "store")
+    tree.mkdir()
+    (tree / "base.py").write_text(BASE)
+    ask = lambda *argv: cli.run(spark, ["--store", store, *argv])["results"]
+    forward = [p["stacktrace"] for p in ask("graph", str(tree), "-f", "run", "-c", "Base", "-d", "1", "--forward")]
+    assert ["Base.label(base.py:17)", "Base.run(base.py:15)"] in forward
+    backward = [p["stacktrace"] for p in ask("graph", str(tree), "-f", "label", "-c", "Base", "-d", "1", "--backward")]
+    assert sorted(backward) == [["Base.label(base.py:12)", "Base.run(base.py:17)"], ["Base.label(base.py:12)", "Child.step(base.py:26)"]]
 
 
 def test_every_language_is_indexed(spark, tmp_path):
