@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +89,46 @@ def _network(value: str) -> str:
     return one(f"list_reduce([CAST({both} AS BIGINT), {keys}], lambda v, k: {step})", "z", "((z >> 32) << rw) | (z & 4294967295)")
 
 
+#: Fixed values of XXH64.
+_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _let(value: str, name: str, use: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {use})[1]"
+
+
+def _xxhash_long(value: str, seed: str) -> str:
+    """XXH64 of one long in SQL, unsigned, in arithmetic modulo 2**64."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    times = lambda x, y: f"CAST((CAST({x} AS UHUGEINT) * CAST({y} AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT)"
+    plus = lambda x, y: f"CAST((CAST({x} AS UHUGEINT) + CAST({y} AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT)"
+    turned = lambda x, bits: _let(x, "t", f"xor({times('t', 1 << bits)}, t >> {64 - bits})")
+    folded = lambda x, bits: _let(x, "t", f"xor(t, t >> {bits})")
+    lane = times(turned(times(value, p2), 31), p1)
+    state = f"xor({plus(seed, (p5 + 8) % (1 << 64))}, {lane})"
+    state = plus(times(turned(state, 27), p1), p4)
+    return folded(times(folded(times(folded(state, 33), p2), 29), p3), 32)
+
+
+def _fold(level: int) -> str:
+    """One level of the reduction tree in SQL: tables ``l`` (items) and ``f`` (steps of the fold), see :mod:`.mixing`."""
+    draw = _let(_xxhash_long("x.place", _xxhash_long("c.place", str(_SEED_HASH))), "h", "CAST(h & 4503599627370495 AS DOUBLE) / 4503599627370496.0")
+    source = "SELECT s, place, id, p, w FROM opened" if level == 0 else f"SELECT s, chunk AS place, id, p, w FROM f{level - 1} WHERE pos = n"
+    up, down = "least((1 - c.p) * c.w, x.p * x.w)", "least(c.p * c.w, (1 - x.p) * x.w)"
+    gives, c_full, c_void = f"u * ({up} + {down}) < {down}", "(1 - c.p) * c.w <= x.p * x.w", "c.p * c.w <= (1 - x.p) * x.w"
+    stays = f"CASE WHEN {gives} THEN NOT ({c_full}) ELSE NOT ({c_void}) END"  # c is the one that stays open
+    moved = f"CASE WHEN {gives} THEN CASE WHEN {c_full} THEN greatest(x.p - {up} / x.w, 0.0) ELSE least(c.p + {up} / c.w, 1.0) END WHEN {c_void} THEN least(x.p + {down} / x.w, 1.0) ELSE greatest(c.p - {down} / c.w, 0.0) END"
+    copies = f"CASE WHEN {gives} THEN CASE WHEN {c_full} THEN 1 ELSE 0 END WHEN {c_void} THEN 0 ELSE 1 END"
+    return f"""l{level} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY s, chunk ORDER BY place) AS pos, count(*) OVER (PARTITION BY s, chunk) AS n FROM (SELECT *, place // {mixing.CHUNK} AS chunk FROM ({source}) z) y),
+f{level} AS (SELECT s, chunk, pos, n, id, place, p, w, CAST(NULL AS BIGINT) AS done, 0 AS k FROM l{level} WHERE pos = 1
+UNION ALL SELECT s, chunk, pos, n, CASE WHEN {stays} THEN c_id ELSE x_id END, CASE WHEN {stays} THEN c.place ELSE x.place END, {moved}, CASE WHEN {stays} THEN c.w ELSE x.w END, CASE WHEN {stays} THEN x_id ELSE c_id END, {copies}
+FROM (SELECT x.s, x.chunk, x.pos, x.n, c.id AS c_id, x.id AS x_id, {{'place': c.place, 'p': c.p, 'w': c.w}} AS c, {{'place': x.place, 'p': x.p, 'w': x.w}} AS x, {draw} AS u FROM f{level} c JOIN l{level} x ON x.s = c.s AND x.chunk = c.chunk AND x.pos = c.pos + 1) both_)"""
+
+
+#: Spark's hash of the seed, with which the hashes of the places begin.
+_SEED_HASH = xxhash.xxh64_intdigest(struct.pack("<i", mixing.SEED), 42)
+_LEVELS = 4
+
 ORACLE_SQL = {
     "op4_chat_format": rf"""
 WITH turns AS (
@@ -107,5 +149,21 @@ wide AS MATERIALIZED (SELECT *, greatest(2, length(bin(greatest(n, 2) - 1))) //
 walk AS (SELECT row_no, n, lw, rw, {_network("row_no")} AS place FROM wide UNION ALL SELECT row_no, n, lw, rw, {_network("place")} FROM walk WHERE place >= n)
 SELECT w.doc_id, w.size, w.text_crc32, 'rows' AS law, CAST(p.place % {SHARDS} AS INTEGER) AS shard, CAST(p.place // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM wide w JOIN walk p ON p.row_no = w.row_no WHERE p.place < p.n
+""",
+    # For ids that are not repeated; sources of up to 64 ** 4 documents.
+    "op6_pivotal_mix": rf"""
+WITH RECURSIVE sized AS MATERIALIZED (SELECT doc_id AS id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+per AS MATERIALIZED (SELECT *, 1 + s % 3 AS weight FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS s FROM sized GROUP BY source) q),
+tried AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS total, CAST(sum(weight) OVER () AS BIGINT) AS weights, row_number() OVER (ORDER BY source_size / weight, s) AS nth,
+  CAST(coalesce(sum({mixing.MAX_REPEATS} * source_size) OVER (ORDER BY source_size / weight, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS held,
+  CAST(coalesce(sum(weight) OVER (ORDER BY source_size / weight, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS used FROM per),
+unit AS MATERIALIZED (SELECT coalesce(arg_min((total - held) / (weights - used), nth) FILTER (WHERE {mixing.MAX_REPEATS} * source_size >= (total - held) / (weights - used) * weight), CAST('Infinity' AS DOUBLE)) AS unit FROM tried),
+goal AS MATERIALIZED (SELECT source, source_size, s, CASE WHEN {mixing.MAX_REPEATS} * source_size < unit * weight THEN CAST({mixing.MAX_REPEATS} * source_size AS DOUBLE) ELSE unit * weight END AS target FROM per, unit),
+given AS MATERIALIZED (SELECT d.id, d.size, g.source_size, g.target, g.s, CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END AS whole,
+  CASE WHEN g.source_size > 0 AND d.size > 0 THEN g.target / g.source_size - floor(g.target / g.source_size) ELSE 0 END AS p, row_number() OVER (PARTITION BY g.s ORDER BY d.id NULLS FIRST) - 1 AS place FROM sized d JOIN goal g ON g.source IS NOT DISTINCT FROM d.source),
+opened AS MATERIALIZED (SELECT s, place, id, p, CAST(size AS DOUBLE) AS w FROM given WHERE p > 0),
+{", ".join(map(_fold, range(_LEVELS)))},
+dealt AS ({" UNION ALL ".join(f"SELECT done AS id, k FROM f{i} WHERE pos > 1" for i in range(_LEVELS))} UNION ALL SELECT id, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END FROM f{_LEVELS - 1} WHERE pos = n)
+SELECT g.id AS doc_id, g.size, g.source_size, g.target, CAST(g.size * (g.whole + coalesce(d.k, 0)) AS BIGINT) AS taken FROM given g LEFT JOIN dealt d ON d.id = g.id
 """,
 }

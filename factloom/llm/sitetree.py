@@ -299,9 +299,10 @@ def _rows_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, named, importance, removed) of every branch. ``pages`` has host (hash) and html.
+    """(host, path, pages, named, importance, removed, alone) of every branch. ``pages`` has host (hash) and html.
 
-    ``named`` says that the prior holds for the branch on some page, ``removed`` that the branch's own importance is below the bar.
+    ``named`` says that the prior holds for the branch on some page, ``removed`` that its importance is below
+    the bar there, ``alone`` that it is so without the prior, on every page.
     """
     rows = pages.mapInPandas(_rows_of, "host long, path long, kind int, value long, top int, named int")
     counts = rows.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"), F.max("top").alias("top"), F.max("named").alias("named"))
@@ -318,12 +319,13 @@ def style_tree(pages: DataFrame) -> DataFrame:
     tops = nodes.filter("top = 1").select("host", F.col("own").alias("best"))
     weighed = nodes.filter("top = 0").join(tops, "host")
     importance = F.when(F.col("named"), NAMED * F.least("own", "best")).otherwise(F.col("own"))
-    return weighed.select("host", "path", "pages", "named", importance.alias("importance"), (F.col("own") < LEAST_SHARE * F.col("best")).alias("removed"))
+    alone = F.col("own") < LEAST_SHARE * F.col("best")
+    return weighed.select("host", "path", "pages", "named", importance.alias("importance"), (F.col("named") | alone).alias("removed"), alone.alias("alone"))
 
 
 def low_importance(pages: DataFrame) -> DataFrame:
-    """(host, path) of the branches that their own importance removes; named ones go by the prior without it."""
-    return cut(style_tree(pages).filter("removed").select("host", "path"))
+    """(host, path) of the branches that their own importance removes; what the prior removes needs no list."""
+    return cut(style_tree(pages).filter("alone").select("host", "path"))
 
 
 def _extractor(held: Broadcast) -> Callable[..., Column]:

@@ -44,7 +44,7 @@ def same_rows(a, b, columns):
 
 
 def importance(pages):
-    """{path: (pages, named, importance, removed)} of the pages of one host, from the definition."""
+    """{path: (pages, named, importance, removed alone)} of the pages of one host, from the definition."""
     trees = [sitetree.read(p) for p in pages]
     shapes, contents, where, named = {}, {}, {}, {}
 
@@ -96,7 +96,9 @@ def test_style_tree_equals_brute_force(spark):
         rules = "".join(f'<li class="r{j}">rule {j if rng.random() < 0.9 else k}</li>' for j in range(rng.randint(1, 4)))
         pages.append(f'<body><div class="top">Same <b>words</b> here</div><nav>{words(3)}</nav><ul class="x">{rules}</ul><div class="story"><p>{words(30)}</p>{"<div class=q>" + words(5) + "</div>" if k % 3 else ""}</div></body>')
     frame = spark.createDataFrame([(1, p) for p in pages], "host long, html string")
-    got = {r["path"]: (r["pages"], r["named"], r["importance"], r["removed"]) for r in sitetree.style_tree(frame).collect()}
+    tree = sitetree.style_tree(frame).collect()
+    got = {r["path"]: (r["pages"], r["named"], r["importance"], r["alone"]) for r in tree}
+    assert all(r["removed"] == (r["named"] or r["alone"]) for r in tree)
     want = importance(pages)
     assert got.keys() == want.keys()
     for path, (m, named, value, removed) in want.items():
@@ -475,6 +477,57 @@ def test_detections_equal_a_naive_scan(spark, docs):
     assert sorted((r["doc_id"] or 0, r["labels"]) for r in got) == [(0, ""), (1, "mit"), (1, "mit")] and licenses.scan_licenses(odd.filter("false")).collect() == []
 
 
+# ---- pipeline
+
+
+def test_pipeline_equals_its_stages_in_python(spark, docs):
+    import corpus_pipeline
+
+    rows = docs.toPandas().sort_values("doc_id")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    marks = labels.toPandas().set_index("doc_id").quality
+    x = np.array([quality.features(t.encode()) for t in rows.text])
+    known = [k for k, d in enumerate(rows.doc_id) if d in marks.index and zlib.crc32(str(d).encode()) % 4 != 2]
+    model = quality.fit(x[known], marks[rows.doc_id.iloc[known]].to_numpy().astype(float))
+    rows = rows[model.score(x) >= quality.THRESHOLD]
+    fps = np.array([simhash.fingerprint(t.encode()) for t in rows.text], dtype=np.uint64)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    label = rows.doc_id.to_numpy().copy()
+    while True:
+        low = np.array([label[n].min() for n in near])
+        if (low == label).all():
+            break
+        label = low
+    rows = rows[label == rows.doc_id]
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()
+    index = decontaminate.build(list(zip(items.item_id, items.text, strict=True)))
+    rows = rows[[not found for found in decontaminate.find(index, rows.text.tolist())]].copy()
+    rows["words"] = rows.text.map(lambda t: len(t.encode().split()))
+    sizes = {k: int(v) for k, v in rows.groupby("source").words.sum().items()}
+    goal, copies = targets(sizes), {}
+    for source, part in rows.groupby("source"):
+        f = goal[source] / sizes[source]
+        extra = deal([(d, at, f - math.floor(f), float(w)) for at, (d, w) in enumerate(zip(part.doc_id, part.words, strict=True)) if f > math.floor(f) and w], mixing.CHUNK, mixing.SEED)
+        copies |= {d: math.floor(f) + extra.get(d, 0) for d in part.doc_id}
+    mixed = [d for d in sorted(copies) for _ in range(copies[d])]
+    want = sorted((d, p % 16, p // 16) for i, d in enumerate(mixed) for p in [feistel.place_of(i, len(mixed))])
+    got = corpus_pipeline.run(spark, SF)
+    assert got.columns == [*docs.columns, "shard", "slot"]
+    assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in got.collect()) == want and len(want) > 50
+
+
+def test_pipeline_stages_on_hot_and_empty_tables(spark, hot):
+    import corpus_pipeline
+
+    for frame in (hot.withColumn("shard", F.lit("x")), hot.filter("false")):
+        rows = frame
+        for _, stage in corpus_pipeline.STAGES[1:-1]:
+            rows = stage(spark, rows, SF)
+            assert rows.columns == frame.columns
+        last = corpus_pipeline.STAGES[-1][1](spark, rows, SF)
+        assert set(last.columns) == set(frame.columns) and sorted((r["shard"], r["slot"]) for r in last.collect()) == sorted((p % 16, p // 16) for p in range(rows.count()))
+
+
 # ---- SQL
 
 
