@@ -3,6 +3,13 @@
 Each stage takes all rows that the one before it kept and returns the columns of ``documents``; the
 last one adds ``shard`` and ``slot``. :func:`run` writes each stage's rows to the folder that driver
 and executors share and reads them back, so a lost executor costs no finished stage.
+
+Defined cases, for every stage: a null text is an empty one, a null id is kept as it is (and never
+decides for other rows), an empty table gives an empty one, columns beyond those that a stage needs
+pass through whatever their names (``shard`` and ``slot`` are replaced by the last stage). Ties and
+repeated rows: the classifier and the decontamination treat equal texts alike; of near copies the one with
+the smallest id stays (the smallest text hash if rows share that id), once; the mix deals copies to
+repeated rows one by one; sharding gives each its own place.
 """
 
 from __future__ import annotations
