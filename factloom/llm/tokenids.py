@@ -28,7 +28,7 @@ bytes (:class:`_Memo`). Words not met before go through the tokenizer, many in o
 white space of other kinds are encoded as a whole.
 
 Defined cases: null texts count as empty and have the end id only; repeated ids keep one entry each,
-ordered by a hash of the text; an empty table gives an empty result; extra columns are ignored.
+in the order in which Spark reads them; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -450,9 +450,9 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer = spark.sparkContext.broadcast(file.read())
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    # Rows that share an id are split by their texts, equal rows by where they are read.
-    keyed = rows.withColumns({"_h": F.xxhash64("text"), "_tie": F.monotonically_increasing_id()})
-    dealt = keyed.repartitionByRange("doc_id", "_h", "_tie").sortWithinPartitions("doc_id", "_h", "_tie").select("doc_id", "text")
+    # Rows that share an id are split by where they are read, so the bounds are found without reading a text.
+    keyed = rows.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = keyed.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
     made = dealt.mapInArrow(_writer(tokenizer, tokenizer_path, end_id), "part int, segment int, before long, ids long, payload binary")
     made.write.parquet(path)
     first, parts = 0, []
