@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import scan
 
 COLUMNS = ("path", "kind", "name", "owner", "detail", "start_line", "end_line")
+FILES_IN_A_TASK = 20_000
 _PLACES = {"{n}": "replace(p_name, ' ', '_')", "{b}": "replace(p_brand, '#', '_')", "{s}": "CAST(p_size AS VARCHAR(20))"}
 
 
@@ -22,7 +23,8 @@ def files(spark: SparkSession, sf_dir: str, language: str, text: str) -> DataFra
     content = F.lit(text)
     for place, value in _PLACES.items():
         content = F.replace(content, F.lit(place), F.expr(value))
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_size")
+    part = part.repartition(max(spark.sparkContext.defaultParallelism, -(-part.count() // FILES_IN_A_TASK)))  # rows are short: one part of the table makes very many files
     path = F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(f".{scan.EXTENSIONS[language][0]}"))
     return part.select(
         path.alias("path"), F.lit(language).alias("language"), F.lit(0).cast("long").alias("mtime_nanos"),
@@ -30,40 +32,41 @@ def files(spark: SparkSession, sf_dir: str, language: str, text: str) -> DataFra
     )
 
 
-def told(tables: dict[str, DataFrame]) -> DataFrame:
-    """All facts in one shape (:data:`COLUMNS`)."""
-    names = tables["files"].select(F.col("id").alias("file_id"), "path")
-    listed = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*key))), value), ",")
-    params = tables["function_params"].groupBy(F.col("function_id").alias("id")).agg(listed(["position", "name", "param_type"], lambda p: F.concat(p["name"], F.lit(":"), F.coalesce(p["param_type"], F.lit("")))).alias("params"))
-    methods = tables["class_methods"].groupBy(F.col("class_id").alias("id")).agg(listed(["method_name"], lambda m: m["method_name"]).alias("methods"))
-    supers = tables["class_super_classes"].groupBy(F.col("class_id").alias("id")).agg(listed(["super_class_name"], lambda m: m["super_class_name"]).alias("supers"))
+def told(snaps: DataFrame) -> DataFrame:
+    """All facts of snapshots (:func:`scan.extract`) in one shape (:data:`COLUMNS`), each fact of a file once.
+
+    A file's facts are in its row, so nothing is joined, dealt out or kept: each file is read once.
+    """
     nothing = F.lit(None).cast("string")
-    around = F.concat(F.coalesce(F.concat("caller_class_name", F.lit(".")), F.lit("")), F.coalesce("caller", F.lit("-")))
-
-    def of(rows: DataFrame, kind: str, name: str, owner: F.Column, detail: F.Column, start: F.Column | None = None, end: F.Column | None = None) -> DataFrame:
-        lines = [F.col("start_line") if start is None else start, F.col("end_line") if end is None else end]
-        return rows.join(names, "file_id").select("path", F.lit(kind).alias("kind"), F.col(name).alias("name"), owner.alias("owner"), detail.alias("detail"), *[c.cast("long").alias(n) for c, n in zip(lines, COLUMNS[5:], strict=True)])
-
-    classes = tables["classes"].join(methods, "id", "left").join(supers, "id", "left")
-    parts = [
-        of(tables["functions"].join(params, "id", "left"), "function", "name", F.col("class_name"), F.coalesce("params", F.lit(""))),
-        of(classes, "class", "name", F.col("kind"), F.concat(F.coalesce("methods", F.lit("")), F.lit("|"), F.coalesce("supers", F.lit("")))),
-        of(tables["fields"], "field", "name", F.col("class_name"), F.col("field_type")),
-        of(tables["calls"], "call", "callee", around, F.col("object_name")),
-        of(tables["imports"], "import", "module", nothing, nothing),
-        of(tables["annotations"], "annotation", "name", F.concat("target_type", F.lit(" "), "target_name"), F.col("target_signature")),
-        of(tables["python_properties"], "property", "property_name", F.col("class_name"), nothing, F.lit(0), F.lit(0)),
-        of(tables["python_property_callers"], "read", "property_name", around, F.col("object_name")),
-        of(tables["refs"].filter(F.col("name").contains("_")), "ref", "name", F.col("node_type"), nothing),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+    listed = lambda x: F.array_join(F.array_sort(x), ",")
+    around = lambda x: F.concat(F.coalesce(F.concat(x["caller_class_name"], F.lit(".")), F.lit("")), F.coalesce(x["caller"], F.lit("-")))
+
+    def params(x: F.Column) -> F.Column:
+        ordered = F.array_sort(F.transform(x["params"], lambda p: F.struct(p["position"], p["name"], p["param_type"])))
+        return F.array_join(F.transform(ordered, lambda p: F.concat(p["name"], F.lit(":"), F.coalesce(p["param_type"], F.lit("")))), ",")
+
+    def of(table: str, kind: str, name: str, owner: Callable[[F.Column], F.Column], detail: Callable[[F.Column], F.Column], lines: bool = True) -> F.Column:
+        rows = scan.facts_of(table)
+        rows = F.filter(rows, lambda x: F.contains(x["name"], F.lit("_"))) if table == "refs" else rows
+        at = lambda x, c: x[c] if lines else F.lit(0)
+        return F.transform(rows, lambda x: F.struct(F.lit(kind).alias("kind"), x[name].alias("name"), owner(x).alias("owner"), detail(x).alias("detail"), *[at(x, c).cast("long").alias(c) for c in COLUMNS[5:]]))
+
+    facts = F.concat(
+        of("functions", "function", "name", lambda x: x["class_name"], lambda x: F.coalesce(params(x), F.lit(""))),
+        of("classes", "class", "name", lambda x: x["kind"], lambda x: F.concat(F.coalesce(listed(x["methods"]), F.lit("")), F.lit("|"), F.coalesce(listed(x["super_classes"]), F.lit("")))),
+        of("fields", "field", "name", lambda x: x["class_name"], lambda x: x["field_type"]),
+        of("calls", "call", "callee", around, lambda x: x["object_name"]),
+        of("imports", "import", "module", lambda _: nothing, lambda _: nothing),
+        of("annotations", "annotation", "name", lambda x: F.concat(x["target_type"], F.lit(" "), x["target_name"]), lambda x: x["target_signature"]),
+        of("python_properties", "property", "property_name", lambda x: x["class_name"], lambda _: nothing, lines=False),
+        of("python_property_callers", "read", "property_name", around, lambda x: x["object_name"]),
+        of("refs", "ref", "name", lambda x: x["node_type"], lambda _: nothing),
+    )
+    return snaps.filter("error IS NULL").select("path", F.explode(F.array_distinct(facts)).alias("x")).select("path", *[f"x.{c}" for c in COLUMNS[1:]])
 
 
 def _query(language: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: told(scan.explode(scan.extract(files(spark, sf_dir, language, SOURCES[language][0]))))
+    return lambda spark, sf_dir: told(scan.extract(files(spark, sf_dir, language, SOURCES[language][0])))
 
 
 def _sql(language: str) -> str:

@@ -164,11 +164,16 @@ def file_id(reading: int) -> Column:
     return F.xxhash64("path", F.lit(reading).cast("long"))
 
 
+def facts_of(table: str) -> Column:
+    """A snapshot's facts of one table, as an array."""
+    return F.from_json(table, T.ArrayType(_column(table)))
+
+
 def explode(snaps: DataFrame, reading: int = 0) -> dict[str, DataFrame]:
     """The fact tables of snapshots. Ids are hashes of path, reading, kind and place, the same in every run."""
     good = snaps.filter("error IS NULL").withColumn("file_id", file_id(reading))
     out = {"files": good.select(F.col("file_id").alias("id"), "path", "language", "mtime_nanos", "size_bytes", "content_hash")}
-    rows = {t: good.select("file_id", F.posexplode(F.from_json(t, T.ArrayType(_column(t)))).alias("at", "x")).select("file_id", F.xxhash64("file_id", F.lit(t), "at").alias("id"), "x.*") for t in TABLES}
+    rows = {t: good.select("file_id", F.posexplode(facts_of(t)).alias("at", "x")).select("file_id", F.xxhash64("file_id", F.lit(t), "at").alias("id"), "x.*") for t in TABLES}
     out |= {t: rows[t].select(*[f.name for f in SCHEMAS[t].fields]) for t in TABLES}
     out["function_params"] = rows["functions"].select(F.col("id").alias("function_id"), F.explode("params").alias("p")).select("function_id", "p.*")
     out["class_methods"] = rows["classes"].select(F.col("id").alias("class_id"), F.explode("methods").alias("method_name"))

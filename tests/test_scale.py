@@ -4,7 +4,9 @@ import pytest
 from factloom import catalog
 from factloom.operators import edges, resolve
 from factloom.plans.facts import SCHEMAS, Facts
+from factloom.sources import extraction
 
+SF = "/root/testdata/sf0.001"
 CALLERS, TARGETS = 40, 60
 
 
@@ -37,9 +39,25 @@ def _dealt(df):
     return any(x in top for x in ("Aggregate", "Distinct", "Sort", "Repartition"))
 
 
+def test_forward_edges_write_groups_not_edges(spark, written):
+    f = _alike(spark)
+    got = edges.forward_edges(f, f.functions)
+    assert not _dealt(got)
+    assert max(written) <= 4 * CALLERS + 2 * TARGETS
+    want = {(i, 1000 + k, 10 * i + 1) for i in range(CALLERS) for k in range(TARGETS)} | {(i, 2000 + k, 10 * i + 1) for i in range(CALLERS) for k in range(0, TARGETS, 2)}
+    rows = [(r["src"], r["dst"], r["site_line"]) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
 def test_forward_self_calls_write_groups_not_edges(spark, written):
     got = catalog._WORK["forward_self_calls"](_alike(spark))
     assert not _dealt(got)
     assert max(written) <= 4 * CALLERS + 2 * TARGETS
     rows = [tuple(r) for r in got.collect()]
     assert sorted(rows) == sorted((i, 1000 + k, 10 * i + 1) for i in range(CALLERS) for k in range(TARGETS))
+
+
+@pytest.mark.parametrize("language", ["go"])
+def test_extraction_reads_each_file_once_without_joins(spark, language):
+    plan = extraction.QUERIES[f"extract_{language}"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Join" not in plan and "Aggregate" not in plan
