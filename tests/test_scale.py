@@ -57,7 +57,7 @@ def test_forward_self_calls_write_groups_not_edges(spark, written):
     assert sorted(rows) == sorted((i, 1000 + k, 10 * i + 1) for i in range(CALLERS) for k in range(TARGETS))
 
 
-@pytest.mark.parametrize("language", ["go"])
+@pytest.mark.parametrize("language", ["go", "tsx"])
 def test_extraction_reads_each_file_once_without_joins(spark, language):
     plan = extraction.QUERIES[f"extract_{language}"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") == 1 and "Join" not in plan and "Aggregate" not in plan
