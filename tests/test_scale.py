@@ -2,7 +2,7 @@
 
 import pytest
 from factloom import catalog
-from factloom.operators import edges, resolve
+from factloom.operators import edges, graph, resolve
 from factloom.plans.facts import SCHEMAS, Facts
 from factloom.sources import extraction
 
@@ -30,6 +30,7 @@ def written(monkeypatch):
 
     monkeypatch.setattr(resolve, "cut", cut)
     monkeypatch.setattr(edges, "cut", cut)
+    monkeypatch.setattr(graph, "cut", cut)
     return counts
 
 
@@ -61,3 +62,13 @@ def test_forward_self_calls_write_groups_not_edges(spark, written):
 def test_extraction_reads_each_file_once_without_joins(spark, language):
     plan = extraction.QUERIES[f"extract_{language}"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") == 1 and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_last_paths_are_not_written(spark, written):
+    layers = [(f"{d}.{i}", f"{d + 1}.{j}", f"f{d + 1}.{j}") for d in range(3) for i in range(1 if d == 0 else 6) for j in range(6)]
+    made = spark.createDataFrame(layers, "src string, dst string, dst_frame string")
+    got = graph.maximal_paths(spark.createDataFrame([("0.0", "f0")], "key string, frame string"), lambda _: made, 3)
+    assert not _dealt(got)
+    assert max(written) <= 6 * 6
+    rows = [tuple(r["keys"]) for r in got.collect()]
+    assert sorted(rows) == sorted(("0.0", f"1.{a}", f"2.{b}", f"3.{c}") for a in range(6) for b in range(6) for c in range(6))
