@@ -72,3 +72,18 @@ def test_last_paths_are_not_written(spark, written):
     assert max(written) <= 6 * 6
     rows = [tuple(r["keys"]) for r in got.collect()]
     assert sorted(rows) == sorted(("0.0", f"1.{a}", f"2.{b}", f"3.{c}") for a in range(6) for b in range(6) for c in range(6))
+
+
+def test_forward_edges_write_and_deal_out_narrow_rows(spark, monkeypatch):
+    kinds, real = [], resolve.cut
+    for module in (resolve, edges):
+        monkeypatch.setattr(module, "cut", lambda df: (kinds.append(dict(df.dtypes)), real(df))[1])
+    f = _alike(spark)
+    edges.forward_edges(f, f.functions)
+    assert kinds and not any("array" in kind for columns in kinds for kind in columns.values())  # types and classes above are met where they are asked for
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = resolve.enclosing(resolve.distinct_calls(f), f)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 3 and "hashpartitioning(call_id" not in plan  # distinct, and either side of the join
