@@ -24,8 +24,10 @@ is in the table ``<path>-parts``, from one count for each part.
 Encoding cuts a batch of texts into the words between single spaces and line ends, which the
 tokenizer's pattern never joins, and encodes each different word of the batch once; words of up to
 ``LONG`` bytes stay in a memo in each worker, which knows them by 128 bits of hash and is bounded by
-bytes (:class:`_Memo`). Words not met before go through the tokenizer, many in one text; texts with
-white space of other kinds are encoded as a whole.
+bytes (:class:`_Memo`). A word of Latin letters with ASCII punctuation after it is two of the pieces into
+which the tokenizer's pattern cuts texts, so letters and punctuation not met before go to its model as they
+are, and letters met with other punctuation are known. Other words not met before go through the tokenizer,
+many in one text; texts with white space of other kinds are encoded as a whole.
 
 Defined cases: null texts count as empty and have the end id only; repeated ids keep one entry each,
 in the order in which Spark reads them; an empty table gives an empty result; extra columns are ignored.
@@ -63,6 +65,8 @@ TEXTS_BYTES = 4 << 20
 
 _OTHER = re.compile(r"[^\S \n]|[\x00-\x09\x0b-\x1f\x7f-\xa0]")
 _RUN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: A word of letters, ASCII punctuation after them: the pattern cuts it between the two and nowhere else. The letters are those that all editions of Unicode since 5.0 call so.
+_WORD = r"\A(?P<letters>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<after>[!-/:-@\[-`{-~]*)\z"
 #: Texts that are empty, begin or end with white space, or have more than one space or line end in a row.
 _UNEVEN = r"\A\z|\A[ \n]|[ \n]\z|[ \n][ \n]"
 
@@ -74,6 +78,10 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
 
 
+#: The letter of each byte, line ends kept.
+_LETTERS = np.array([0x0A if b == 0x0A else c for b, c in sorted(_byte_letters().items())], dtype="<u4")
+
+
 # ---- blocks -----------------------------------------------------------------------------------
 
 
@@ -97,9 +105,13 @@ def _squeezed(values: np.ndarray, w: int) -> np.ndarray:
 
 def _spread(raw: np.ndarray, at: np.ndarray, w: int) -> np.ndarray:
     """The values of whole blocks of width ``w`` that begin at the bytes ``at`` of ``raw``, which ends with 8 spare bytes."""
-    eights = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
     bit = np.arange(BLOCK) * w
-    return (eights[at[:, None] + (bit >> 3)] >> (bit & 7).astype(np.uint64) & np.uint64((1 << w) - 1)).astype(np.int64)
+    return (_at(raw, "<u8", at[:, None] + (bit >> 3)) >> (bit & 7).astype(np.uint64) & np.uint64((1 << w) - 1)).astype(np.int64)
+
+
+def _at(raw: np.ndarray, kind: str, at: np.ndarray) -> np.ndarray:
+    """The numbers of ``kind`` that begin at the bytes ``at`` of ``raw``, which ends with 8 spare bytes."""
+    return np.ndarray((len(raw) - 7,), dtype=kind, buffer=raw, strides=(1,))[at]
 
 
 def pack(ids: np.ndarray, documents: list[tuple[int | None, int]]) -> bytes:
@@ -176,7 +188,7 @@ class Segment:
         return values + int(self._low[k])
 
     def ids(self) -> np.ndarray:
-        """All ids; whole blocks of one width are unpacked together."""
+        """All ids; whole blocks of one width are unpacked together, and the exceptions of all whole blocks."""
         if not self.n_blocks:
             return np.zeros(0, np.int64)
         out = np.zeros((self.n_blocks, BLOCK), dtype=np.int64)
@@ -186,9 +198,10 @@ class Segment:
             rows = np.flatnonzero(self._width[:whole] == w)
             if w:
                 out[rows] = _spread(raw, at[rows], w)
-            for r in rows[self._exceptions[rows] > 0]:
-                x, high = int(self._exceptions[r]), at[r] + BLOCK * w // 8
-                out[r, raw[high : high + 2 * x].copy().view("<u2")] |= raw[high + 2 * x : high + 6 * x].copy().view("<u4").astype(np.int64) << w
+        x, w = self._exceptions[:whole].astype(np.int64), self._width[:whole].astype(np.int64)
+        row, high = np.repeat(np.arange(whole), x), at[:whole] + BLOCK * w // 8
+        k = np.arange(len(row)) - np.repeat(np.cumsum(x) - x, x)
+        out[row, _at(raw, "<u2", high[row] + 2 * k)] |= _at(raw, "<u4", (high + 2 * x)[row] + 4 * k).astype(np.int64) << w[row]
         out[:whole] += self._low[:whole].astype(np.int64)[:, None]
         return np.concatenate([out[:whole].ravel(), self.block(whole)])
 
@@ -257,6 +270,7 @@ class _Memo:
         self.entry = np.zeros(0, dtype=np.int32)
         self.met = np.zeros(0, dtype=np.uint8)  # batches that met the word, 2 for more
         self.pool, self.starts = array("I"), array("i", [0])
+        self.fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     @property
     def bytes(self) -> int:
@@ -269,6 +283,13 @@ class _Memo:
         self.starts.frombytes((end + np.cumsum(counts)).astype("<i4").tobytes())
         return first
 
+    def ids_of(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries, one after the other, and how many of each."""
+        starts, pool = np.frombuffer(self.starts, dtype=np.int32), np.frombuffer(self.pool, dtype="<u4") if self.pool else np.zeros(0, "<u4")
+        begin = starts[entries].astype(np.int64)
+        counts = starts[entries + 1] - begin
+        return pool[np.arange(counts.sum()) + np.repeat(begin - (np.cumsum(counts) - counts), counts)], counts
+
     def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """The entry of each word, NEW for words that are not known."""
         order = np.argsort(keys)  # in order the search walks through the memo once
@@ -281,8 +302,17 @@ class _Memo:
         return out
 
     def keep(self, keys: np.ndarray, checks: np.ndarray, entries: np.ndarray) -> None:
-        """Know new words from now on."""
+        """Know new words from the next :meth:`settle` on."""
+        self.fresh.append((keys, checks, entries))
+
+    def settle(self) -> None:
+        """Put the new words among the others, all at once."""
+        if not self.fresh:
+            return
+        keys, checks, entries = (np.concatenate(x) for x in zip(*self.fresh, strict=True))
+        self.fresh = []
         order = np.argsort(keys)
+        order = order[np.r_[True, np.diff(keys[order]) != 0][: len(order)]]  # punctuation may be met alone and after letters
         at = np.searchsorted(self.keys, keys[order])
         self.keys, self.checks = np.insert(self.keys, at, keys[order]), np.insert(self.checks, at, checks[order])
         self.entry, self.met = np.insert(self.entry, at, entries[order].astype(np.int32)), np.insert(self.met, at, 1)
@@ -291,11 +321,12 @@ class _Memo:
         if self.bytes <= MEMO_BYTES:
             return
         often = self.met > 1
-        keys, checks, entry, starts, pool = self.keys[often], self.checks[often], self.entry[often], np.array(self.starts), np.array(self.pool)
+        keys, checks = self.keys[often], self.checks[often]
+        ids, counts = self.ids_of(self.entry[often])
         self._clear()
-        counts = starts[entry + 1] - starts[entry]
-        first = self.add_all(pool[np.arange(counts.sum()) + np.repeat(starts[entry] - (np.cumsum(counts) - counts), counts)], counts)
+        first = self.add_all(ids, counts)
         self.keep(keys, checks, first + np.arange(len(keys)))
+        self.settle()
         if self.bytes > MEMO_BYTES // 2:
             self._clear()
 
@@ -329,12 +360,56 @@ class Encoder:
         counts = np.diff(np.r_[begins, len(ids)])
         return (ids, counts) if after_space else (np.delete(ids, begins), counts - 1)
 
+    def _pieces(self, pieces: pa.LargeStringArray, after_space: bool) -> np.ndarray:
+        """The entry of each of the pattern's pieces (all different), which the model encodes as they are if they are new."""
+        keys, checks = (h ^ _AFTER_SPACE if after_space else h for h in _hashes(pieces))
+        out = self.memo.find(keys, checks)
+        new = np.flatnonzero(out == NEW)
+        if not len(new):
+            return out
+        part = pieces.take(pa.array(new))
+        space = " " if after_space else ""
+        text = space + f"\n{space}".join(_joins(part, f"\n{space}"))
+        letters = _LETTERS[np.frombuffer(text.encode(), dtype=np.uint8)].tobytes().decode("utf-32-le").split("\n")
+        encode, ids, counts = self.memo.tokenizer.model.tokenize, array("I"), array("q")
+        for lo in range(0, len(letters), JOINED):
+            tokens = [encode(piece) for piece in letters[lo : lo + JOINED]]
+            ids.extend([t.id for piece in tokens for t in piece])
+            counts.extend(map(len, tokens))
+        out[new] = self.memo.add_all(np.array(ids), np.array(counts)) + np.arange(len(new))
+        short = new[np.asarray(pc.binary_length(part)) <= LONG]
+        self.memo.keep(keys[short], checks[short], out[short])
+        return out
+
+    def _lettered(self, letters: pa.LargeStringArray, after: pa.LargeStringArray, after_space: bool) -> np.ndarray:
+        """The entry of each word, given as its letters and the punctuation after them."""
+        letters, after = letters.dictionary_encode(), after.dictionary_encode()
+        out = self._pieces(letters.dictionary, after_space)[np.asarray(letters.indices)]
+        tailed = np.flatnonzero(np.asarray(pc.binary_length(after.dictionary))[np.asarray(after.indices)])
+        if len(tailed):
+            tails = np.zeros(len(after.dictionary), dtype=np.int64)
+            some = np.flatnonzero(np.asarray(pc.binary_length(after.dictionary)))
+            tails[some] = self._pieces(after.dictionary.take(pa.array(some)), after_space=False)
+            both = np.stack([out[tailed], tails[np.asarray(after.indices)[tailed]]], axis=1)
+            ids, counts = self.memo.ids_of(both.ravel())
+            out[tailed] = self.memo.add_all(ids, counts.reshape(-1, 2).sum(axis=1)) + np.arange(len(tailed))
+        return out
+
     def _entries(self, words: pa.LargeStringArray, hashes: tuple[np.ndarray, np.ndarray], after_space: bool) -> np.ndarray:
         """The entry of each word (all different), APART for one that is not to be encoded apart."""
         keys, checks = (h ^ _AFTER_SPACE if after_space else h for h in hashes)
         out = self.memo.find(keys, checks)
         new = np.flatnonzero(out == NEW)
         met = words.take(pa.array(new))
+        cut = pc.extract_regex(met, _WORD)
+        plain = np.asarray(cut.is_valid())
+        if plain.any():
+            letters, after = cut.drop_null().flatten()
+            which = new[plain]
+            out[which] = self._lettered(letters, after, after_space)
+            tailed = which[np.asarray(pc.and_(pc.greater(pc.binary_length(after), 0), pc.less_equal(pc.binary_length(words.take(pa.array(which))), LONG)))]
+            self.memo.keep(keys[tailed], checks[tailed], out[tailed])  # the others are known by their letters
+            new, met = new[~plain], met.filter(pa.array(~plain))
         single = np.zeros(len(new), dtype=bool)
         if not after_space:  # runs with white space inside
             single = np.asarray(pc.or_(pc.match_substring(met, " "), pc.match_substring(met, "\n")))
@@ -382,6 +457,7 @@ class Encoder:
             which = np.flatnonzero(here)
             if len(which):
                 at[int(after_space), which] = self._entries(known.take(pa.array(which)), (hashes[0][which], hashes[1][which]), after_space)
+        self.memo.settle()
         entry = at.astype(np.int32).ravel()[code + np.where(bare, 0, len(known)).astype(np.int32)]
         apart = np.unique(np.searchsorted(ends, np.flatnonzero(entry == APART), side="right"))
         entry[entry == APART] = 0

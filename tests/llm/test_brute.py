@@ -299,6 +299,60 @@ def test_memo_is_bounded_by_bytes(monkeypatch):
     assert encoder.memo.bytes < 3 * tokenids.MEMO_BYTES and 0 < len(encoder.memo.keys) and (np.diff(encoder.memo.keys.astype(float)) >= 0).all()
 
 
+def test_letters_met_before_are_known_with_other_punctuation():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as file:
+        encoder = tokenids.Encoder(file.read(), "punctuation")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    given = []
+
+    class Counting:  # stands for the tokenizer and for its model
+        def __init__(self, real):
+            self.real = real
+
+        @property
+        def model(self):
+            return Counting(self.real.model)
+
+        def tokenize(self, piece):
+            given.append(piece)
+            return self.real.tokenize(piece)
+
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return self.real.encode_batch_fast(texts, **options)
+
+    encoder.memo.tokenizer = Counting(encoder.memo.tokenizer)
+    rng = random.Random(4)
+    letters = ["".join(rng.choice("abcdeéßñŁɏ") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    for after in ("", ".", ",***", "'", "!?", "."):
+        given.clear()
+        text = " ".join(w + after for w in letters) + "\n" + letters[0] + after
+        assert np.frombuffer(encoder([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert sum(map(len, given)) > 1000 if after == "" else sum(map(len, given)) < 10
+    # Where the pattern cuts elsewhere, or may do so.
+    heads, ends = ["a", "Ŀ", "é", "×", "÷", "º", "ñ́", "e\u0301", "…", "ж", "中", "1", "_", "'", "''", "I'", "ab'", "ɐ", "\u0250"], ["", ".", "'", "'s", "'ll", "'s.", "…", ".…", "…." "²", "_", "<|endoftext|>", "1.", "é.", "-x", "x" * 80, "." * 80]
+    texts = [between.join(h + e for h in heads for e in ends[k:]) for between in (" ", "\n", "  ", " \n") for k in range(len(ends))] + [h + e for h in heads for e in ends]
+    for _ in range(2):
+        for text, ids in zip(texts, encoder(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert len(np.unique(encoder.memo.keys)) == len(encoder.memo.keys) and not encoder.memo.fresh
+
+
+def test_segments_with_exceptions_of_all_widths():
+    rng = np.random.default_rng(7)
+    for n in (1, 256, 300, 256 * 40 + 17):
+        ids = np.concatenate([rng.integers(0, 1 << rng.integers(1, 33), 256) for _ in range(-(-n // 256))])[:n]
+        ids = np.where(rng.random(n) < 0.08, rng.integers(0, 1 << 32, n), ids)
+        segment = tokenids.Segment(tokenids.pack(ids, [(1, n)]))
+        assert (segment.ids() == ids).all()
+        assert (np.concatenate([segment.block(k) for k in range(segment.n_blocks)]) == ids).all()
+
+
 # ---- 6: mixing
 
 
