@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import scan
 
 #: Languages whose SQL has all references; that of the others has those with an underscore in their name.
-ALL_REFS = ("go",)
+ALL_REFS = ("go", "tsx")
 COLUMNS = ("path", "kind", "name", "owner", "detail", "start_line", "end_line")
 FILES_IN_A_TASK = 20_000
 _PLACES = {"{n}": "replace(p_name, ' ', '_')", "{b}": "replace(p_brand, '#', '_')", "{s}": "CAST(p_size AS VARCHAR(20))"}
@@ -412,15 +412,20 @@ export const Card_{n} = (p: Props_{s}) => {
         ('function', 'render_{n}', '{b}', '', 7, 7),
         ('function', 'Card_{n}', None, 'p:Props_{s}', 10, 12),
         ('import', './view{s}', None, None, 1, 1),
+        ('ref', 'View', 'identifier', None, 1, 1),
         ('ref', 'Props_{s}', 'type_identifier', None, 3, 3),
+        ('ref', 'title', 'property_identifier', None, 3, 3),
         ('ref', '{b}', 'type_identifier', None, 5, 5),
+        ('ref', 'Component', 'identifier', None, 5, 5),
         ('ref', 'state_{s}', 'property_identifier', None, 6, 6),
         ('ref', 'draw_{n}', 'identifier', None, 7, 7),
         ('ref', 'render_{n}', 'property_identifier', None, 7, 7),
         ('ref', 'state_{s}', 'property_identifier', None, 7, 7),
         ('ref', 'Card_{n}', 'identifier', None, 10, 10),
+        ('ref', 'p', 'identifier', None, 10, 10),
         ('ref', 'Props_{s}', 'type_identifier', None, 10, 10),
         ('ref', 'show_{s}', 'identifier', None, 11, 11),
+        ('ref', 'p', 'identifier', None, 11, 11),
     )),
 }
 

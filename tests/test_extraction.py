@@ -3,12 +3,13 @@
 import pytest
 from factloom.sources import extraction, scan
 from factloom.sources.languages.go import snapshot
+from factloom.sources.languages.javascript import tsx
 
 SF = "/root/testdata/sf0.001"
 FILES = "path string, language string, mtime_nanos long, size_bytes long, content_hash string, content binary"
 
 
-@pytest.mark.parametrize(("language", "names"), [("go", {"shop", "Base", "ID", "rate", "ToUpper", "Println"})])
+@pytest.mark.parametrize(("language", "names"), [("go", {"shop", "Base", "ID", "rate", "ToUpper", "Println"}), ("tsx", {"View", "Component", "title", "p"})])
 def test_references_without_an_underscore_are_told(spark, language, names):
     rows = extraction.QUERIES[f"extract_{language}"](spark, SF).filter("kind = 'ref'").groupBy("path").agg({"name": "collect_set"}).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/part.parquet").count()
@@ -31,3 +32,8 @@ def test_go_kinds_in_signatures_and_imports():
         ("str", "package"), ("S", "type"), ("next", "field"), ("x", "identifier"), ("int", "type"), ("error", "type"), ("L", "type"), ("Load", "field"), ("id", "identifier"), ("p", "package"), ("K", "type"),
         ("n", "identifier"), ("int", "type"), ("out", "identifier"), ("K", "type"), ("V", "type"), ("err", "identifier"), ("error", "type"), ("f", "identifier"), ("ids", "identifier"), ("int", "type"), ("T", "type"),
     ]
+
+
+def test_tsx_words_of_the_language_are_no_references():
+    code = "import { View } from './v';\ntype Props = { title: string };\nconst from = (type: number) => type + from;\n"
+    assert _kinds(tsx(code)["refs"]) == [("View", "identifier"), ("Props", "type"), ("title", "property"), ("from", "identifier"), ("type", "identifier"), ("type", "identifier"), ("from", "identifier")]
