@@ -4,7 +4,7 @@ import pytest
 from factloom import catalog
 from factloom.operators import edges, graph, resolve
 from factloom.plans.facts import SCHEMAS, Facts
-from factloom.sources import extraction
+from factloom.sources import extraction, fixtures
 
 SF = "/root/testdata/sf0.001"
 CALLERS, TARGETS = 40, 60
@@ -87,3 +87,9 @@ def test_forward_edges_write_and_deal_out_narrow_rows(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 3 and "hashpartitioning(call_id" not in plan  # distinct, and either side of the join
+
+
+def test_lines_alike_are_one_before_they_meet_functions(spark):
+    f = fixtures.facts(spark, SF)
+    alike = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_partkey", "l_linenumber", "l_quantity >= 48").distinct().count()
+    assert f.calls.count() == alike < spark.read.parquet(f"{SF}/lineitem.parquet").count()
