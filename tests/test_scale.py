@@ -93,3 +93,13 @@ def test_lines_alike_are_one_before_they_meet_functions(spark):
     f = fixtures.facts(spark, SF)
     alike = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_partkey", "l_linenumber", "l_quantity >= 48").distinct().count()
     assert f.calls.count() == alike < spark.read.parquet(f"{SF}/lineitem.parquet").count()
+
+
+def test_forward_paths_write_groups_not_paths(spark, written):
+    n = 20
+    rows = [(1, 1, "a", "K", 1, 9)] + [(1000 * k + i, 1, name, "K", 1000 * k + 10 * i, 1000 * k + 10 * i + 9) for k, name in enumerate("mzw", 1) for i in range(n)]
+    calls = [(1, dict(a="m", m="z", z="w")[r[2]], r[2], "K", "self", r[4] + 1, r[4] + 1) for r in rows if r[2] != "w"]
+    made = {"functions": rows, "calls": calls, "files": [(1, "a", "python", 0, 0, "")]}
+    got = graph.find_paths(Facts(lambda t: spark.createDataFrame(made.get(t, []), SCHEMAS[t])), "a", "K", ordered=False)
+    assert max(written) <= len(rows)
+    assert got.filter("depth = 3").count() == got.count() == n**3
